@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, packing, quality_model, quality_rules, sharding, tokens, topk
+from corpusloom.llm import language, ngram_join, packing, quality_model, quality_rules, sharding, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("id", 3) != 1)
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
