@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, ngram_join, packing, quality_model, quality_rules, sharding, tokens, topk
+from corpusloom.llm import language, ngram_join, packing, quality_model, quality_rules, sharding, substring_dedup, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer(), limit=1024)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), length=50)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
     "op8_ngram_join": op8_ngram_join,
