@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corpusloom.llm.common import block_count, block_of, cut, fresh, mix64
+from corpusloom.llm.common import block_count, block_of, fresh, mix64
 from corpusloom.llm.shingles import Powers
 from corpusloom.llm.suffixes import repeated
 
@@ -45,37 +45,54 @@ SORTED = 1 << 20
 NONE = np.iinfo(np.int64).max
 
 
-def runs(parts: list[bytes], length: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: (part, first start, last start, anchor's place, anchor's hash), places within the part."""
-    x = np.frombuffer(b"".join(parts), np.uint8)
-    n, width = len(x), length - ANCHOR + 1
-    if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    bounds = np.cumsum([0, *map(len, parts)])
-    up, down = powers.get(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(powers.letters[x] * up[:n])])
-        h = mix64((total[ANCHOR:] - total[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1])
-    least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
-    span = 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    anchor = (least & LOW).astype(np.int64)
-    part = np.repeat(np.arange(len(parts)), np.diff(bounds))[: len(anchor)]
-    at = np.flatnonzero(np.arange(len(anchor)) + length <= bounds[part + 1])
-    if not len(at):
-        return runs([], length, powers)
-    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(anchor[at]) != 0) | (np.diff(part[at]) != 0))
-    first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
-    p = part[first]
-    return p, first - bounds[p], last - bounds[p], anchor[first] - bounds[p], h[anchor[first]]
+class Text:
+    """Some texts as one run of bytes, with the hash of any stretch of it at hand."""
+
+    def __init__(self, parts: list[bytes], powers: Powers) -> None:
+        self.x = np.frombuffer(b"".join(parts), np.uint8)
+        self.bounds = np.cumsum([0, *map(len, parts)])
+        up, self.down = powers.get(len(self.x) + 1)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(powers.letters[self.x] * up[: len(self.x)])])
+
+    def hash(self, first: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[end] - self.total[first]) * self.down[first] + np.asarray(salt, np.uint64))
+
+    def runs(self, length: int) -> tuple[np.ndarray, ...]:
+        """Runs of strings with one anchor: (part, first start, last start, anchor's place, anchor's hash)."""
+        n, width, bounds = len(self.x), length - ANCHOR + 1, self.bounds
+        none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+        if n < length:
+            return none
+        with np.errstate(over="ignore"):
+            h = mix64((self.total[ANCHOR:] - self.total[: n - ANCHOR + 1]) * self.down[: n - ANCHOR + 1])
+        least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        anchor = (least & LOW).astype(np.int64)
+        part = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
+        at = np.flatnonzero(np.arange(len(anchor)) + length <= bounds[part + 1])
+        if not len(at):
+            return none
+        breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(anchor[at]) != 0) | (np.diff(part[at]) != 0))
+        first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
+        # smallest hashes are small numbers; mixed again, they spread evenly over the buckets
+        return part[first], first, last, anchor[first], mix64(h[anchor[first]] ^ np.uint64(0x9E3779B97F4A7C15))
+
+
+def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first..first + size - 1 of every pair, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def pieces(rows: list[tuple[int, bytes]], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
-    """Batches of texts for runs(): (row, offset) and bytes of each part. Every string lies in one part."""
+    """Batches of texts: (row, offset) and bytes of each part. Every string lies in one part."""
     names, parts, size = [], [], 0
     for row, text in rows:
         for at in range(0, max(1, len(text) - length + 1), PIECE):
@@ -131,7 +148,7 @@ def anchors(blocks: int, length: int):
         tokens, counts = [], []
         last_row = None
         for names, parts in pieces(own, length):
-            p, _, _, _, h = runs(parts, length, powers)
+            p, _, _, _, h = Text(parts, powers).runs(length)
             row = np.array([r for r, _ in names])[p] if len(p) else p
             order = np.argsort(h, kind="stable")
             h, row = h[order], row[order]
@@ -180,7 +197,18 @@ def held_by_several(key: tuple, table: pa.Table) -> pa.Table:
     return table_of(REPLY, rows)
 
 
-CONTEXTS = "bucket int, block int, keys binary, docs binary, sizes binary, data binary, holds binary, rows binary, starts binary, spans binary"
+CONTEXTS = "bucket int, block int, keys binary, hashes binary, docs binary, sizes binary, data binary, holds binary, rows binary, starts binary, spans binary"
+
+
+def cut_by_place(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, text: Text, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of frequent anchors cut into classes of PLACES places around the anchor: (run, first, last, key). All strings
+    of a class hold the same bytes at the class's place; their hash is the key."""
+    low, high = (anchor - last) // PLACES, (anchor - first) // PLACES
+    run = np.repeat(np.arange(len(first)), high - low + 1)
+    place = stretches(low, high - low + 1)
+    core = anchor[run] - PLACES * place
+    key = text.hash(core, core - PLACES + 1 + length, place + 1)
+    return run, np.maximum(first[run], core - PLACES + 1), np.minimum(last[run], core), key
 
 
 def contexts(blocks: int, length: int):
@@ -200,55 +228,52 @@ def contexts(blocks: int, length: int):
         for d, (doc, _) in zip(digests, texts):
             if d is not None:
                 least[d] = min(doc, least.get(d, NONE))
-        spans = [(k, 0, len(t)) for k, ((doc, t), d) in enumerate(zip(texts, digests)) if d is not None and least[d] < doc]
+        spans = [np.array([(k, 0, len(t)) for k, ((doc, t), d) in enumerate(zip(texts, digests)) if d is not None and least[d] < doc], np.int64).reshape(-1, 3)]
         own = [(k, t) for k, ((doc, t), d) in enumerate(zip(texts, digests)) if d is not None and least[d] == doc]
-        held: dict[tuple[int, bytes], list] = {}  # (key, context): smallest doc, its (row, start) places
+        docs = np.array([d for d, _ in texts], np.int64)
+        found, bodies, base = [], [], 0
         for names, parts in pieces(own, length):
-            p, first, last, place, h = runs(parts, length, powers)
-            if not len(token) or not len(p):
-                continue
-            at = np.minimum(np.searchsorted(token, h), len(token) - 1)
-            hit = np.flatnonzero(token[at] == h)
-            often = kind[at[hit]] >= FREQUENT
-            for i, f, l, a, k, o in zip(p[hit].tolist(), first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), h[hit].tolist(), often.tolist()):
-                row, offset = names[i]
-                doc, text = texts[row][0], parts[i]
-                if not o:
-                    found = [(k, f, l)]
-                else:
-                    found = []
-                    for c in range((a - l) // PLACES, (a - f) // PLACES + 1):
-                        x, y = max(f, a - PLACES * c - PLACES + 1), min(l, a - PLACES * c)
-                        core = text[a - PLACES * c : a - PLACES * c - PLACES + 1 + length]
-                        found.append((int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=c.to_bytes(2, "little")).digest(), "little"), x, y))
-                for name, x, y in found:
-                    context = text[x : y + length]
-                    if (e := held.get((name, context))) is None:
-                        held[name, context] = [doc, [(row, offset + x)]]
-                    elif doc == e[0]:
-                        e[1].append((row, offset + x))
-                    else:
-                        n = len(context)
-                        if doc > e[0]:
-                            spans.append((row, offset + x, offset + x + n))
-                        else:
-                            spans += [(r, s, s + n) for r, s in e[1]]
-                            e[0], e[1] = doc, [(row, offset + x)]
-        names = np.array([k for k, _ in held], np.uint64)
-        to = np.searchsorted(bucket_bounds(blocks), names, side="right")
-        by: dict[int, list] = {}
-        for b, (k, context), (doc, places) in zip(to.tolist(), held.keys(), held.values()):
-            by.setdefault(b, []).append((k, doc, context, places))
-        rows = []
-        for b, es in by.items():
-            rows.append((
-                b, block, np.array([e[0] for e in es], "<u8").tobytes(), np.array([e[1] for e in es], "<i8").tobytes(),
-                np.array([len(e[2]) for e in es], "<u4").tobytes(), b"".join(e[2] for e in es), np.array([len(e[3]) for e in es], "<u4").tobytes(),
-                np.array([r for e in es for r, _ in e[3]], "<u4").tobytes(), np.array([s for e in es for _, s in e[3]], "<i8").tobytes(), None,
-            ))
-        if spans:
-            rows.append((block % blocks, block, *[None] * 7, np.array(spans, "<i8").tobytes()))
-        return table_of(CONTEXTS, rows)
+            text = Text(parts, powers)
+            p, first, last, anchor, h = text.runs(length)
+            if len(token) and len(p):
+                at = np.minimum(np.searchsorted(token, h), len(token) - 1)
+                hit = token[at] == h
+                often = hit & (kind[at] >= FREQUENT)
+                few, many = np.flatnonzero(hit & ~often), np.flatnonzero(often)
+                cut_run, x, y, cut_key = cut_by_place(first[many], last[many], anchor[many], text, length)
+                p = np.concatenate([p[few], p[many][cut_run]])
+                first, last, name = np.concatenate([first[few], x]), np.concatenate([last[few], y]), np.concatenate([h[few], cut_key])
+                rows, offsets = np.array([r for r, _ in names])[p], np.array([o for _, o in names])[p]
+                found.append((name, text.hash(first, last + length, last - first), rows, offsets + first - text.bounds[p], last + length - first, base + first))
+            bodies.append(text.x)
+            base += len(text.x)
+        rows_out = []
+        if found:
+            name, context, row, start, size, at = (np.concatenate(c) for c in zip(*found))
+            body, doc = np.concatenate(bodies), docs[row]
+            order = np.lexsort((start, row, doc, context, name))
+            name, context, row, start, size, at, doc = (c[order] for c in (name, context, row, start, size, at, doc))
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])])
+            group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+            later = doc > doc[head][group]  # the block has the same context in a smaller document
+            spans.append(np.stack([row[later], start[later], (start + size)[later]], axis=1))
+            holds = np.bincount(group[~later], minlength=len(head))
+            row, start = row[~later], start[~later]
+            name, context, doc, size, at = (c[head] for c in (name, context, doc, size, at))
+            data = body[stretches(at, size)]
+            e = np.concatenate([[0], np.searchsorted(name, bucket_bounds(blocks)), [len(name)]])
+            ends, places = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(holds)])
+            for b in np.flatnonzero(np.diff(e)).tolist():
+                x, y = e[b], e[b + 1]
+                part, place = slice(x, y), slice(places[x], places[y])
+                rows_out.append((
+                    b, block, name[part].astype("<u8").tobytes(), context[part].astype("<u8").tobytes(), doc[part].astype("<i8").tobytes(), size[part].astype("<u4").tobytes(),
+                    data[ends[x] : ends[y]].tobytes(), holds[part].astype("<u4").tobytes(), row[place].astype("<u4").tobytes(), start[place].astype("<i8").tobytes(), None,
+                ))
+        decided = np.concatenate(spans)
+        if len(decided):
+            rows_out.append((block % blocks, block, *[None] * 8, decided.astype("<i8").tobytes()))
+        return table_of(CONTEXTS, rows_out)
 
     return run
 
@@ -258,65 +283,63 @@ def sorted_suffixes(length: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         out: dict[int, list[bytes]] = {}
-        entries = []  # (key, context, doc, block, places)
+        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+        base = 0
         for r in table.to_pylist():
             if r["spans"] is not None:
                 out.setdefault(r["block"], []).append(r["spans"])
                 continue
-            ends = np.cumsum(np.frombuffer(r["sizes"], "<u4")).tolist()
-            holds = np.cumsum(np.frombuffer(r["holds"], "<u4")).tolist()
-            rows, starts = np.frombuffer(r["rows"], "<u4"), np.frombuffer(r["starts"], "<i8")
-            x = y = 0
-            for k, doc, end, hold in zip(np.frombuffer(r["keys"], "<u8").tolist(), np.frombuffer(r["docs"], "<i8").tolist(), ends, holds):
-                entries.append((k, r["data"][x:end], doc, r["block"], rows[y:hold], starts[y:hold]))
-                x, y = end, hold
-        entries.sort(key=lambda e: e[:3])
-        found: dict[int, list] = {}
-
-        def mark(e: tuple, first: np.ndarray, last: np.ndarray) -> None:
-            """Spans of the entry's places for strings first..last."""
-            n = len(first)
-            spans = np.empty((len(e[4]) * n, 3), np.int64)
-            spans[:, 0] = np.repeat(e[4], n)
-            spans[:, 1] = (e[5][:, None] + first[None, :]).ravel()
-            spans[:, 2] = (e[5][:, None] + last[None, :] + length).ravel()
-            found.setdefault(e[3], []).append(spans)
-
-        def sort(batch: list[list[tuple]]) -> None:
-            """batch: the entries of each distinct context, smallest doc first; contexts with one key are neighbours."""
-            owners = np.array([es[0][2] for es in batch], np.int64)
-            for es, hit in zip(batch, repeated([es[0][1] for es in batch], owners, length)):
-                if hit.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    for e in es:
-                        if e[2] == es[0][2]:
-                            mark(e, edge[::2], edge[1::2] - 1)
-                whole = np.array([0]), np.array([len(es[0][1]) - length])
-                for e in es:
-                    if e[2] > es[0][2]:
-                        mark(e, *whole)
-
-        batch, size, i = [], 0, 0
-        while i < len(entries):
-            same = []
-            k = entries[i][0]
-            while i < len(entries) and entries[i][0] == k:
-                j = i
-                while j < len(entries) and entries[j][:2] == entries[i][:2]:
-                    j += 1
-                same.append(entries[i:j])
-                i = j
-            if len(same) == 1 and len(same[0]) == 1:
-                continue  # one context of one block: nothing to compare it with
-            batch += same
-            size += sum(len(es[0][1]) for es in same)
-            if size >= SORTED:
-                sort(batch)
-                batch, size = [], 0
-        if batch:
-            sort(batch)
-        for block, spans in found.items():
-            out.setdefault(block, []).append(np.concatenate(spans).astype("<i8").tobytes())
+            size, holds, data = np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["holds"], "<u4").astype(np.int64), np.frombuffer(r["data"], np.uint8)
+            some = (np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["docs"], "<i8"), size, base + np.cumsum(size) - size, np.full(len(size), r["block"]), holds, np.frombuffer(r["rows"], "<u4").astype(np.int64), np.frombuffer(r["starts"], "<i8"))
+            for c, v in zip(columns, some):
+                c.append(v)
+            columns.append([data]) if len(columns) == 9 else columns[9].append(data)
+            base += len(data)
+        if base:
+            name, context, doc, size, at, block, holds, row, start, body = (np.concatenate(c) for c in columns)
+            place = np.cumsum(holds) - holds
+            order = np.lexsort((doc, context, name))
+            name, context, doc, size, at, block, holds, place = (c[order] for c in (name, context, doc, size, at, block, holds, place))
+            new_name = np.concatenate([[True], name[1:] != name[:-1]])
+            count = np.bincount(np.cumsum(new_name) - 1)
+            lone = np.repeat(count == 1, count)  # one context of one block: nothing to compare it with
+            name, context, doc, size, at, block, holds, place = (c[~lone] for c in (name, context, doc, size, at, block, holds, place))
+        if base and len(name):
+            new_name = np.concatenate([[True], name[1:] != name[:-1]])
+            new = new_name | np.concatenate([[True], context[1:] != context[:-1]])
+            group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+            firsts, lasts, which = [], [], []
+            # batches of whole keys, of about SORTED bytes each
+            total = np.cumsum(size[head])
+            starts_key = np.flatnonzero(new_name[head])
+            batch = (total[starts_key] - size[head][starts_key]) // SORTED
+            edges = np.concatenate([starts_key[np.concatenate([[True], batch[1:] != batch[:-1]])], [len(head)]])
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                h = head[x:y]
+                c, f, l = repeated(body, at[h], size[h], doc[h], length)
+                which.append(c + x)
+                firsts.append(f)
+                lasts.append(l)
+            which, firsts, lasts = np.concatenate(which), np.concatenate(firsts), np.concatenate(lasts)
+            # what the smallest holder of a context repeats, and whole contexts for its other holders
+            later = doc > doc[head][group]
+            bounds = np.searchsorted(which, np.arange(len(head) + 1))
+            n = np.where(later, 1, np.diff(bounds)[group])
+            entry = np.repeat(np.arange(len(doc)), n)
+            pick = stretches(np.where(later, 0, bounds[group]), n)
+            whole = later[entry]
+            some = np.minimum(pick, max(len(firsts) - 1, 0))
+            f = np.where(whole, 0, firsts[some] if len(firsts) else 0)
+            l = np.where(whole, size[entry] - length, lasts[some] if len(firsts) else 0)
+            held = holds[entry]
+            at_place = stretches(place[entry], held)
+            f, l, b = np.repeat(f, held), np.repeat(l, held), np.repeat(block[entry], held)
+            spans = np.stack([row[at_place], start[at_place] + f, start[at_place] + l + length], axis=1)
+            order = np.argsort(b, kind="stable")
+            spans, b = spans[order], b[order]
+            cuts = np.flatnonzero(b[1:] != b[:-1]) + 1
+            for part, one in zip(np.split(spans, cuts), b[np.concatenate([[0], cuts])].tolist() if len(b) else []):
+                out.setdefault(one, []).append(part.astype("<i8").tobytes())
         return table_of("block int, spans binary", [(b, b"".join(s)) for b, s in out.items()])
 
     return run
@@ -372,7 +395,7 @@ def removed(docs: DataFrame, keep: list[str], length: int, key: str, text: str,
     block = rows.withColumn(place, block_of(n, doc, body)).groupBy(place)
     sent = block.applyInArrow(anchors(n, length), SENT)
     reply = sent.groupBy("bucket").applyInArrow(held_by_several, REPLY)
-    asked = cut(block.cogroup(reply.groupBy("block")).applyInArrow(contexts(n, length), CONTEXTS))
+    asked = block.cogroup(reply.groupBy("block")).applyInArrow(contexts(n, length), CONTEXTS)
     spans = asked.groupBy("bucket").applyInArrow(sorted_suffixes(length), "block int, spans binary")
     last = StructType([StructField(fresh(docs, x), t) for x, t in zip(("bytes", "spans", "kept"), (f.dataType for f in StructType.fromDDL("a long, b array<struct<start: long, end: long>>, c binary").fields))])
     out = StructType([*docs.select(*keep).schema.fields, *last.fields])

@@ -109,19 +109,24 @@ def equal_to_previous(sa: np.ndarray, word: np.ndarray, length: int) -> np.ndarr
     return same
 
 
-def repeated(contexts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context and each of its strings of `length` bytes: whether a context of a smaller owner has the string too."""
-    lengths = np.array([len(c) for c in contexts])
-    x = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+def repeated(body: np.ndarray, at: np.ndarray, size: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of `length` bytes that a context of a smaller owner has too, as runs: (context, first start, last start).
+
+    Context i is size[i] bytes of body from at[i] on."""
+    first = np.concatenate([[0], np.cumsum(size + 1)])
+    x = np.zeros(first[-1], np.uint8)
+    target = np.arange(first[-1])
+    which = np.repeat(np.arange(len(size)), size + 1)
+    inside = target - first[which] < size[which]
+    x[inside] = body[(at[which] + target - first[which])[inside]]
     word = words8(x)
     sa = suffix_array(x, length, word)
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])
-    which = np.repeat(np.arange(len(contexts)), lengths + 1)
-    whole = np.arange(len(x)) + length <= first[which] + lengths[which]
     group = np.cumsum(~equal_to_previous(sa, word, length)) - 1
+    whole = target + length <= first[which] + size[which]
     owner = np.where(whole[sa], owners[which[sa]], np.iinfo(np.int64).max)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.minimum.reduceat(owner, starts)
-    found = np.zeros(len(x), bool)
+    least = np.minimum.reduceat(owner, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
+    found = np.zeros(len(x) + 1, np.int8)
     found[sa] = whole[sa] & (least[group] < owners[which[sa]])
-    return [found[first[i] : first[i] + lengths[i] - length + 1] for i in range(len(contexts))]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], found])))  # no run reaches a context's last byte
+    begin, end = edge[::2], edge[1::2] - 1
+    return which[begin], begin - first[which[begin]], end - first[which[begin]]
