@@ -197,7 +197,7 @@ def held_by_several(key: tuple, table: pa.Table) -> pa.Table:
     return table_of(REPLY, rows)
 
 
-CONTEXTS = "bucket int, block int, keys binary, hashes binary, docs binary, sizes binary, data binary, holds binary, rows binary, starts binary, spans binary"
+CONTEXTS = "bucket int, block int, keys binary, docs binary, sizes binary, data binary, holds binary, rows binary, starts binary, spans binary"
 
 
 def cut_by_place(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, text: Text, length: int) -> tuple[np.ndarray, ...]:
@@ -259,7 +259,7 @@ def contexts(blocks: int, length: int):
             spans.append(np.stack([row[later], start[later], (start + size)[later]], axis=1))
             holds = np.bincount(group[~later], minlength=len(head))
             row, start = row[~later], start[~later]
-            name, context, doc, size, at = (c[head] for c in (name, context, doc, size, at))
+            name, doc, size, at = (c[head] for c in (name, doc, size, at))
             data = body[stretches(at, size)]
             e = np.concatenate([[0], np.searchsorted(name, bucket_bounds(blocks)), [len(name)]])
             ends, places = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(holds)])
@@ -267,33 +267,51 @@ def contexts(blocks: int, length: int):
                 x, y = e[b], e[b + 1]
                 part, place = slice(x, y), slice(places[x], places[y])
                 rows_out.append((
-                    b, block, name[part].astype("<u8").tobytes(), context[part].astype("<u8").tobytes(), doc[part].astype("<i8").tobytes(), size[part].astype("<u4").tobytes(),
-                    data[ends[x] : ends[y]].tobytes(), holds[part].astype("<u4").tobytes(), row[place].astype("<u4").tobytes(), start[place].astype("<i8").tobytes(), None,
+                    b, block, name[part].astype("<u8").tobytes(), doc[part].astype("<i8").tobytes(), size[part].astype("<u4").tobytes(),
+                    packed(data[ends[x] : ends[y]]), holds[part].astype("<u4").tobytes(), row[place].astype("<u4").tobytes(), start[place].astype("<i8").tobytes(), None,
                 ))
         decided = np.concatenate(spans)
         if len(decided):
-            rows_out.append((block % blocks, block, *[None] * 8, decided.astype("<i8").tobytes()))
+            rows_out.append((block % blocks, block, *[None] * 7, decided.astype("<i8").tobytes()))
         return table_of(CONTEXTS, rows_out)
 
     return run
 
 
+def packed(data: np.ndarray) -> bytes:
+    """Bytes as they go through the shuffle; text shrinks to a third."""
+    return pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+
+
+def hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of each context."""
+    up, down = powers.get(int(size.max()) + 1)
+    with np.errstate(over="ignore"):
+        terms = powers.letters[data] * up[np.arange(len(data)) - np.repeat(at, size)]
+        return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64))
+
+
 def sorted_suffixes(length: int):
     """Step 3, a bucket: (block, spans) with rows of (row, start, end)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         out: dict[int, list[bytes]] = {}
-        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(10)]
+        powers = Powers()
         base = 0
         for r in table.to_pylist():
             if r["spans"] is not None:
                 out.setdefault(r["block"], []).append(r["spans"])
                 continue
-            size, holds, data = np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["holds"], "<u4").astype(np.int64), np.frombuffer(r["data"], np.uint8)
-            some = (np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["docs"], "<i8"), size, base + np.cumsum(size) - size, np.full(len(size), r["block"]), holds, np.frombuffer(r["rows"], "<u4").astype(np.int64), np.frombuffer(r["starts"], "<i8"))
+            size, holds = np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["holds"], "<u4").astype(np.int64)
+            data, at = unpacked(r["data"], int(size.sum())), np.cumsum(size) - size
+            some = (np.frombuffer(r["keys"], "<u8"), hashes(data, at, size, powers), np.frombuffer(r["docs"], "<i8"), size, base + at, np.full(len(size), r["block"]), holds, np.frombuffer(r["rows"], "<u4").astype(np.int64), np.frombuffer(r["starts"], "<i8"), data)
             for c, v in zip(columns, some):
                 c.append(v)
-            columns.append([data]) if len(columns) == 9 else columns[9].append(data)
             base += len(data)
         if base:
             name, context, doc, size, at, block, holds, row, start, body = (np.concatenate(c) for c in columns)
