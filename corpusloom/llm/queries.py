@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, ngram_join, packing, quality_model, quality_rules, sharding, substring_dedup, tokens, topk
+from corpusloom.llm import language, mixing, ngram_join, packing, quality_model, quality_rules, sharding, substring_dedup, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,25 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=1024, end_id=0)
+def pieces_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Domains of the labels table, and the token shares that op4 asks for.
+DOMAINS = ["clean", "low", "toxic"]
+SHARES = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled documents."""
+    kind = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=1024, end_id=0))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(table(spark, sf_dir, "documents"), fold("id", 4) != 2)
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
@@ -35,6 +49,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer(), limit=1024)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = domains_of(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, DOMAINS, mixing.shares_of(SHARES, DOMAINS))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"), length=50)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -66,6 +85,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
