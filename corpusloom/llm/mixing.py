@@ -216,5 +216,7 @@ def mixed(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable
     """The rows of docs, with all columns, each as often as its rate says."""
     model, steps, _ = plan(docs, labels, domains, goal, key, text)
     posterior, tokens, n = (fresh(docs, x) for x in ("mixing_posterior", "mixing_tokens", "mixing_copies"))
-    rows = with_posteriors(docs, model, text, posterior, tokens).withColumn(n, copies(rate(posterior, steps), key, slack))
-    return rows.where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    rows = with_posteriors(docs, model, text, posterior, tokens)
+    # a row id beside the copies keeps the filter above this step: below, it would work out the posterior once more for each use
+    rows = rows.select(*docs.columns, copies(rate(posterior, steps), key, slack).alias(n), F.monotonically_increasing_id().alias(posterior))
+    return rows.where((F.col(n) > 0) & (F.col(posterior) >= 0)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
