@@ -171,8 +171,11 @@ def solve(features: DataFrame, posterior: str, tokens: str, d: int, goal: Callab
         step = scale * np.linalg.solve(m + np.eye(d) * total * 1e-6, s - target)
         new, curve = measured([*steps, step.tolist()])
         if ((new - target) ** 2).sum() < ((s - target) ** 2).sum():
+            gained = ((new - target) ** 2).sum() < 0.98 * ((s - target) ** 2).sum()
             steps.append(step.tolist())
             s, m, scale = new, curve, min(1.0, 2 * scale)
+            if not gained:
+                break  # targets that nonnegative rates can't meet: this is the least miss
         else:
             scale /= 2
     return steps
