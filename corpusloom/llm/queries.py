@@ -102,4 +102,26 @@ ORACLE_SQL: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20
     """,
+    "op8_ngram_join": """
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as t from documents),
+        s as (select doc_id, list_distinct(case when len(t) >= 3 then list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])
+                                                when len(t) > 0 then [array_to_string(t, ' ')] else [] end) as x from w),
+        e as (select doc_id, len(x) as n, unnest(x) as x from s),
+        p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from p where 100 * c >= 90 * (na + nb - c)),
+        r(node, reached) as (select doc_id, doc_id from s union select r.node, l.b from r join l on l.a = r.reached)
+        select s.doc_id, any_value(len(s.x))::bigint as n_shingles, min(r.reached) as component_id from s join r on r.node = s.doc_id group by 1
+    """,
+    "op5_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+        s as (select doc_id, p, substr(h, 2 * p + 1, 100) as x from (select doc_id, h, unnest(range(0, n - 49)) as p from d where n >= 50)),
+        f as (select x, min(doc_id) as least from s group by 1),
+        hit as (select distinct doc_id, p from s join f using (x) where least < doc_id),
+        gone as (select distinct doc_id, p + k as p from hit, range(0, 50) t(k)),
+        runs as (select doc_id, count(*) as n_removed, count(*) filter (before is null or before < p - 1) as n_spans from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from gone) group by 1),
+        b as (select doc_id, p, substr(h, 2 * p + 1, 2) as x from (select doc_id, h, unnest(range(0, n)) as p from d where doc_id in (select doc_id from gone))),
+        kept as (select doc_id, string_agg(x, '' order by p) as h from b anti join gone using (doc_id, p) group by 1)
+        select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+          sha256(unhex(case when n_removed is null then d.h else coalesce(kept.h, '') end)) as kept_sha256 from d left join runs using (doc_id) left join kept using (doc_id)
+    """,
 }
