@@ -84,8 +84,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, key: s
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, nq = rows.select(F.count("*"), F.count_if(is_query)).first()
     nc, nq = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
-    units = blocks(rows, nc, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).repartition(nc * nq, "dim", "q", "c")
-    both = units.join(blocks(queries, nq, "q"), ["dim", "q"])
+    # every query block meets every candidate block, each pair under a key of its own so that pairs spread over the tasks
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = blocks(rows, nc, "c").withColumn("q", each(nq)).join(blocks(queries, nq, "q").withColumn("c", each(nc)), ["dim", "q", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
