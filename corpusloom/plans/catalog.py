@@ -272,3 +272,41 @@ def key_check(spark, d):
     from corpusloom.sources.schemas import duplicates
 
     return duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(f"""
+    with w as ({WORDS}), a as (select doc_id, word, {TRANSLATED} as text from w)
+    select doc_id, word, text, regexp_replace(translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\x{{064B}}-\\x{{065F}}\\x{{06D6}}-\\x{{06DC}}]', '', 'g') as normalized_text
+    from a where word <= 50 and not regexp_full_match(text, '[\\x{{0660}}-\\x{{0669}}]+')""")
+def plain_words(spark, d):
+    w = words(spark, d).where("word <= 50").withColumn("text", F.translate("text", LATIN, ARABIC))
+    return corpus.plain_words(w, ["doc_id", "word"])
+
+
+@query(f"""
+    with m as ({MAPPED}), c as (select distinct doc_id, word, unnest(range(ph_start, ph_end)) as ph from m where deleted = 0 and ph_end > ph_start and doc_id % 2 = 0),
+    f as (select distinct doc_id, (ph // 7 + 1)::integer as phoneme_word, word as text_word from c),
+    n as (select doc_id, (doc_id % 5)::integer as n from documents)
+    select * from f union all select doc_id, unnest(range(1, n + 1))::integer, unnest(range(1, n + 1))::integer from n where n > 0 and doc_id not in (select doc_id from f)""")
+def word_map_or_identity(spark, d):
+    cov = align.covered(mapped(spark, d).where("doc_id % 2 = 0"), ["doc_id"])
+    found = cov.select("doc_id", (F.call_function("div", F.col("ph_idx"), F.lit(7)) + 1).cast("int").alias("phoneme_word"), F.col("word").alias("text_word")).distinct()
+    counts = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("n"))
+    return align.or_identity(found, counts, ["doc_id"])
+
+
+@query(f"""
+    with w as ({WORDS}), t as (select doc_id, string_agg(text, ' ' order by word) as s, list(text order by word) as g from w where word <= 20 group by 1),
+    u as (select doc_id, unnest(g) as tok, unnest(range(0, len(g)))::integer as group_idx from t)
+    select doc_id, group_idx, tok as group_text, (sum(length(tok) + 1) over (partition by doc_id order by group_idx) - length(tok) - 1)::integer as ph_start,
+      (sum(length(tok) + 1) over (partition by doc_id order by group_idx) - 1)::integer as ph_end from u""")
+def group_spans(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 20).alias("g")).where(F.size("g") > 0)
+    rows = rows.select("doc_id", "g", F.array_join("g", " ").alias("s")).select("doc_id", "g", align.spans(F.col("s"), F.col("g"), 1).alias("x"))
+    return rows.select("doc_id", F.posexplode(F.arrays_zip("g", "x")).alias("group_idx", "z")).select("doc_id", "group_idx", F.col("z.g").alias("group_text"), F.col("z.x.start").alias("ph_start"), F.col("z.x.end").alias("ph_end"))
+
+
+@query(f"select doc_id, regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1] as first_word, length(regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1]) <= 6 and regexp_full_match(translate(regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1], 'ThereoandOfit', 'المصركهيعطسحق'), '{T.OPENING_LETTERS}') as opening from documents")
+def opening_words(spark, d):
+    first = F.get(T.tokens(F.col("text")), 0)
+    return read(spark, d, "documents").select("doc_id", first.alias("first_word"), T.is_opening(F.translate(first, "ThereoandOfit", "المصركهيعطسحق")).alias("opening"))
