@@ -38,7 +38,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 
 WORDS = "select doc_id, unnest(t) as text, unnest(range(1, len(t) + 1))::integer as word from (select doc_id, regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{85}\\x{A0}]+') as t from documents)"
-CHARS = "select doc_id, unnest(t) as ch, unnest(range(0, len(t)))::integer as idx from (select doc_id, string_split(substr(text, 1, 150), '') as t from documents)"
+CHARS = "select doc_id, unnest(t) as ch, unnest(range(0, len(t)))::integer as idx, len(t)::integer as n from (select doc_id, string_split(text, '') as t from documents where text <> '')"
 TRANSLATED = f"translate(text, '{LATIN}', '{ARABIC}')"
 
 
@@ -61,8 +61,7 @@ def ordered_text_agg(spark, d):
 
 @query(f"with c as ({CHARS}) select doc_id, idx, case when ch = ' ' then 0 else 1 + sum((ch = ' ')::integer) over (partition by doc_id order by idx) end::integer as word from c")
 def char_word_index(spark, d):
-    docs = read(spark, d, "documents").withColumn("text", F.substring("text", 1, 150))
-    return align.word_index(align.characters(docs, ["doc_id"], "text"), ["doc_id"]).select("doc_id", "idx", "word")
+    return align.word_index(align.characters(read(spark, d, "documents"), ["doc_id"], "text"), ["doc_id"]).select("doc_id", "idx", "word")
 
 
 SEGMENTS = "select conv_id, turn, role, (turn * 5)::bigint as w_start, (turn * 5 + 1 + length(text) % 20)::bigint as w_end, text, length(text) % 7 / 8.0::double as ratio from conversations"
@@ -94,19 +93,19 @@ def variant_dedup(spark, d):
     return out.select("text", "lang", F.array_join("configs", ",").alias("configs"))
 
 
-@query("select l_orderkey, l_linenumber, l_quantity, l_partkey as word_id, p_name as glyph_text from lineitem left join (select p_partkey, p_name from part where p_partkey % 3 <> 0) on p_partkey = l_partkey")
+@query("select c_custkey as word_id, c_name as text, glyph_text from customer left join (select o_custkey, arg_max(o_orderpriority, o_orderkey) as glyph_text from orders group by 1) on o_custkey = c_custkey")
 def glyph_left_join(spark, d):
-    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").alias("word_id"))
-    glyphs = read(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("word_id"), F.col("p_name").alias("glyph_text"), F.col("p_partkey").alias("seq"))
+    items = read(spark, d, "customer").select(F.col("c_custkey").alias("word_id"), F.col("c_name").alias("text"))
+    glyphs = read(spark, d, "orders").select(F.col("o_custkey").alias("word_id"), F.col("o_orderpriority").alias("glyph_text"), F.col("o_orderkey").alias("seq"))
     return corpus.with_glyphs(items, glyphs)
 
 
-@query("""select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.text, '') as text, b.phonemes from (select doc_id, text from documents where doc_id % 5 <> 0) a
-    full join (select doc_id, quality || '-' || toxic as phonemes from labels) b on a.doc_id = b.doc_id""")
+@query("""select coalesce(a.page_id, b.doc_id) as id, coalesce(a.html, '') as text, b.phonemes from pages a
+    full join (select doc_id, quality || '-' || toxic as phonemes from labels) b on a.page_id = b.doc_id""")
 def ayah_full_outer(spark, d):
-    texts = read(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", "text")
-    phonemes = read(spark, d, "labels").select("doc_id", F.concat_ws("-", "quality", "toxic").alias("phonemes"))
-    return corpus.verses_of(texts, phonemes, ["doc_id"])
+    texts = read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    phonemes = read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.concat_ws("-", "quality", "toxic").alias("phonemes"))
+    return corpus.verses_of(texts, phonemes, ["id"])
 
 
 @query("select d.doc_id, coalesce(nullif(case when quality = 1 then 'q' || toxic else '' end, ''), source) as phonemes from documents d left join labels l on d.doc_id = l.doc_id")
@@ -141,22 +140,23 @@ def first_on_page(spark, d):
     return lines(words(spark, d)).groupBy("doc_id", page.alias("page")).agg(F.min("first_word_id").alias("first_word"), F.max("last_word_id").alias("last_word"), F.count("*").alias("n_lines"))
 
 
-@query(f"with w as ({WORDS}), l as ({LINES}) select w.doc_id, min(line // 15)::bigint as page from w join l on w.doc_id = l.doc_id and word between first_word_id and last_word_id where word between 100 and 200 group by 1")
+@query(f"with w as ({WORDS}), l as ({LINES}) select w.doc_id, ((word - 1) // 25)::bigint as verse, min(line // 15)::bigint as page from w join l on w.doc_id = l.doc_id and word between first_word_id and last_word_id group by 1, 2")
 def position_to_page(spark, d):
     w = words(spark, d)
-    some = w.where(F.col("word").between(100, 200)).select("doc_id", F.col("word").alias("word_id"))
-    return corpus.word_lines(lines(w), some, ["doc_id"]).groupBy("doc_id").agg(F.min(F.floor(F.col("line") / 15)).alias("page"))
+    verses = w.select("doc_id", F.floor((F.col("word") - 1) / 25).alias("verse"), F.col("word").alias("word_id"))
+    return corpus.word_lines(lines(w), verses, ["doc_id"]).groupBy("doc_id", "verse").agg(F.min(F.floor(F.col("line") / 15)).alias("page"))
 
 
 @query("""
-    with r as (select doc_id, unnest(t) as ch, unnest(range(0, len(t))) as idx from (select doc_id, string_split(substr(text, 1, 150), '') as t from documents)),
-    m as (select doc_id, unnest(t) as ch, unnest(range(0, len(t))) as idx from (select doc_id, string_split(replace(substr(text, 1, 150), 'e ', ' e'), '') as t from documents)),
+    with r as (select doc_id, unnest(t) as ch, unnest(range(0, len(t))) as idx from (select doc_id, string_split(text, '') as t from documents where text <> '')),
+    m as (select doc_id, unnest(t) as ch, unnest(range(0, len(t))) as idx from (select doc_id, string_split(replace(text, 'e ', ' e'), '') as t from documents where text <> '')),
     mk as (select doc_id, idx as place, row_number() over (partition by doc_id order by idx) - 1 as k from m where ch <> ' '),
+    ends as (select doc_id, max(place) + 1 as after from mk group by 1),
     rk as (select *, sum((ch <> ' ')::integer) over (partition by doc_id order by idx) - (ch <> ' ')::integer as k from r)
-    select r.doc_id, r.idx::integer as idx, coalesce(place, 1 + (select max(place) from mk z where z.doc_id = r.doc_id), 0)::integer as pos
-    from rk r left join mk on mk.doc_id = r.doc_id and mk.k = r.k""")
+    select r.doc_id, r.idx::integer as idx, coalesce(place, after, 0)::integer as pos
+    from rk r left join mk on mk.doc_id = r.doc_id and mk.k = r.k left join ends on ends.doc_id = r.doc_id""")
 def raw_to_merged(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 150).alias("raw"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("raw"))
     docs = docs.withColumn("merged", F.replace("raw", F.lit("e "), F.lit(" e")))
     return align.offsets(align.characters(docs, ["doc_id"], "raw"), align.characters(docs, ["doc_id"], "merged"), ["doc_id"])
 
@@ -167,19 +167,19 @@ def raw_to_merged(spark, d):
     p as (select *, lag(w, 1, 0) over (partition by doc_id order by idx) as prev from k)
     select doc_id, string_agg(case when w > prev and prev > 0 then ' ' || ch else ch end, '' order by idx) as text from p group by 1""")
 def boundary_reinsert(spark, d):
-    docs = read(spark, d, "documents").withColumn("text", F.substring("text", 1, 150))
+    docs = read(spark, d, "documents")
     cs = align.characters(docs, ["doc_id"], "text").where("ch <> ' '")
     cs = cs.withColumn("minw", F.when(F.col("idx") % 3 == 0, 1 + F.call_function("div", F.col("idx"), F.lit(9)) % 7).cast("int"))
     return align.reinserted(cs, ["doc_id"])
 
 
-MAPPED = f"select doc_id, idx, ch, least(idx, 140) as ph_start, least(idx + idx % 3, 140) as ph_end, (idx % 3 = 0)::integer as deleted, (idx // 10 + 1)::integer as word from ({CHARS})"
+MAPPED = f"select doc_id, idx, ch, idx as ph_start, least(idx + idx % 3, n)::integer as ph_end, (idx % 3 = 0)::integer as deleted, (idx // 10 + 1)::integer as word from ({CHARS})"
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").withColumn("text", F.substring("text", 1, 150))
+    docs = read(spark, d, "documents").withColumn("n", F.length("text"))
     i = F.col("idx")
-    return align.characters(docs, ["doc_id"], "text").select("doc_id", i, F.least(i, F.lit(140)).alias("ph_start"), F.least(i + i % 3, F.lit(140)).alias("ph_end"), (i % 3 == 0).cast("int").alias("deleted"), (F.call_function("div", i, F.lit(10)) + 1).cast("int").alias("word"))
+    return align.characters(docs, ["doc_id", "n"], "text").select("doc_id", i, i.alias("ph_start"), F.least(i + i % 3, F.col("n")).alias("ph_end"), (i % 3 == 0).cast("int").alias("deleted"), (F.call_function("div", i, F.lit(10)) + 1).cast("int").alias("word"))
 
 
 @query(f"""
@@ -193,21 +193,21 @@ def word_map_pairs(spark, d):
 
 
 @query("""
-    with t as (select doc_id, string_split(regexp_replace(substr(text, 1, 300), '\\s+', ' ', 'g'), ' ') as t from documents),
+    with t as (select doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as t from documents),
     u as (select doc_id, unnest(t) as tok, unnest(range(1, len(t) + 1))::integer as word from t)
     select doc_id, word, (sum(length(tok) + 1) over (partition by doc_id order by word) - length(tok) - 1)::integer as start, (sum(length(tok) + 1) over (partition by doc_id order by word) - 1)::integer as "end" from u""")
 def token_spans(spark, d):
-    text = F.regexp_replace(F.substring("text", 1, 300), "\\s+", " ")
+    text = F.regexp_replace("text", "\\s+", " ")
     rows = read(spark, d, "documents").select("doc_id", text.alias("s")).select("doc_id", "s", F.split("s", " ").alias("t"))
     return rows.select("doc_id", F.posexplode(align.spans(F.col("s"), F.col("t"), 1)).alias("word", "x")).select("doc_id", (F.col("word") + 1).alias("word"), "x.start", "x.end")
 
 
 @query(f"""
-    with w as ({WORDS}), f as (select doc_id, word, text, starts_with(text, 'T') or starts_with(text, 'th') as hit from w where word <= 12),
+    with w as ({WORDS}), f as (select doc_id, word, text, starts_with(text, 'T') or starts_with(text, 'th') as hit from w),
     g as (select doc_id, list(text order by word) as t, coalesce(min(word) filter (not hit) - 1, count(*)) as n from f group by 1)
     select doc_id, case when n <= 1 then array_to_string(t, ' ') else array_to_string(list_concat([array_to_string(t[1:n], '')], t[n + 1:]), ' ') end as merged from g""")
 def prefix_run_merge(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 12).alias("t")).where(F.size("t") > 0)
+    docs = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return docs.select("doc_id", T.merge_leading(F.col("t"), ["T", "th"]).alias("merged"))
 
 
@@ -277,31 +277,31 @@ def key_check(spark, d):
 @query(f"""
     with w as ({WORDS}), a as (select doc_id, word, {TRANSLATED} as text from w)
     select doc_id, word, text, regexp_replace(translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\x{{064B}}-\\x{{065F}}\\x{{06D6}}-\\x{{06DC}}]', '', 'g') as normalized_text
-    from a where word <= 50 and not regexp_full_match(text, '[\\x{{0660}}-\\x{{0669}}]+')""")
+    from a where not regexp_full_match(text, '[\\x{{0660}}-\\x{{0669}}]+')""")
 def plain_words(spark, d):
-    w = words(spark, d).where("word <= 50").withColumn("text", F.translate("text", LATIN, ARABIC))
+    w = words(spark, d).withColumn("text", F.translate("text", LATIN, ARABIC))
     return corpus.plain_words(w, ["doc_id", "word"])
 
 
 @query(f"""
-    with m as ({MAPPED}), c as (select distinct doc_id, word, unnest(range(ph_start, ph_end)) as ph from m where deleted = 0 and ph_end > ph_start and doc_id % 2 = 0),
+    with m as ({MAPPED}), c as (select distinct doc_id, word, unnest(range(ph_start, ph_end)) as ph from m where deleted = 0 and ph_end > ph_start and doc_id in (select doc_id from labels)),
     f as (select distinct doc_id, (ph // 7 + 1)::integer as phoneme_word, word as text_word from c),
     n as (select doc_id, (doc_id % 5)::integer as n from documents)
     select * from f union all select doc_id, unnest(range(1, n + 1))::integer, unnest(range(1, n + 1))::integer from n where n > 0 and doc_id not in (select doc_id from f)""")
 def word_map_or_identity(spark, d):
-    cov = align.covered(mapped(spark, d).where("doc_id % 2 = 0"), ["doc_id"])
+    cov = align.covered(mapped(spark, d).join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), ["doc_id"])
     found = cov.select("doc_id", (F.call_function("div", F.col("ph_idx"), F.lit(7)) + 1).cast("int").alias("phoneme_word"), F.col("word").alias("text_word")).distinct()
     counts = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("n"))
     return align.or_identity(found, counts, ["doc_id"])
 
 
 @query(f"""
-    with w as ({WORDS}), t as (select doc_id, string_agg(text, ' ' order by word) as s, list(text order by word) as g from w where word <= 20 group by 1),
+    with w as ({WORDS}), t as (select doc_id, string_agg(text, ' ' order by word) as s, list(text order by word) as g from w group by 1),
     u as (select doc_id, unnest(g) as tok, unnest(range(0, len(g)))::integer as group_idx from t)
     select doc_id, group_idx, tok as group_text, (sum(length(tok) + 1) over (partition by doc_id order by group_idx) - length(tok) - 1)::integer as ph_start,
       (sum(length(tok) + 1) over (partition by doc_id order by group_idx) - 1)::integer as ph_end from u""")
 def group_spans(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 20).alias("g")).where(F.size("g") > 0)
+    rows = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("g")).where(F.size("g") > 0)
     rows = rows.select("doc_id", "g", F.array_join("g", " ").alias("s")).select("doc_id", "g", align.spans(F.col("s"), F.col("g"), 1).alias("x"))
     return rows.select("doc_id", F.posexplode(F.arrays_zip("g", "x")).alias("group_idx", "z")).select("doc_id", "group_idx", F.col("z.g").alias("group_text"), F.col("z.x.start").alias("ph_start"), F.col("z.x.end").alias("ph_end"))
 
