@@ -29,7 +29,9 @@ def stitch(segments: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n_segments", "match_ratio", "reciter", "first_seq", F.when(F.col("n_segments") == 1, F.col("only")).otherwise(joined).alias("phonemes"))
 
 
-def variants(texts: DataFrame, keys: list[str], source: str, prefix: str = "moshaf_") -> DataFrame:
-    """Equal rows of several sources as one, with the sorted sources (the prefix taken out)."""
+def variants(texts: DataFrame, keys: list[str], source: str, prefix: str = "moshaf_", first: str | None = None) -> DataFrame:
+    """Equal rows of several sources as one, with the sorted sources (the prefix taken out); `first` names a column for the
+    smallest source as it was."""
     names = F.sort_array(F.collect_set(F.replace(F.col(source), F.lit(prefix), F.lit(""))))
-    return texts.groupBy(*keys).agg(names.alias("configs"))
+    more = [F.min(source).alias(first)] if first else []
+    return texts.groupBy(*keys).agg(names.alias("configs"), *more)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import align, corpus, stitch
+from corpusloom.plans import recordings
 from corpusloom.sources import readers, sinks
 
 QUERIES: dict = {}
@@ -87,6 +88,26 @@ def segment_stitch(spark, d):
     return out.select("conv_id", "n_segments", F.round("match_ratio", 6).alias("match_ratio"), "reciter", "phonemes")
 
 
+@query("""
+    with s as (select role, conv_id, (turn // 4)::integer as verse, turn, (turn * 5)::bigint as w_start, (turn * 5 + 1 + length(text) % 20)::bigint as w_end, text from conversations where length(text) > 0),
+    c as (select *, greatest(0, coalesce(max(w_end) over (partition by role, conv_id, verse order by w_start, turn rows between unbounded preceding and 1 preceding), 0)) as cov,
+                 regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{85}\\x{A0}]+') as t from s),
+    k as (select *, case when w_end <= cov then [] when cov <= w_start then t when len(t) = w_end - w_start then t[(cov - w_start + 1):]
+                 else t[((cov - w_start) * len(t) // (w_end - w_start) + 1):] end as part from c),
+    g as (select role, conv_id, verse, case when count(*) = 1 then any_value(text) else coalesce(string_agg(array_to_string(part, ' '), ' ' order by w_start, turn) filter (len(part) > 0), '') end as phonemes from k group by 1, 2, 3)
+    select conv_id::integer as surah, verse as ayah, phonemes, array_to_string(list_sort(list_distinct(list(role))), ',') as configs from g group by 1, 2, 3""")
+def recordings_agreed(spark, d):
+    verse = F.call_function("div", F.col("turn"), F.lit(4))
+    at = lambda word: F.struct(F.col("conv_id").alias("sura_idx"), verse.alias("aya_idx"), word.alias("imlaey"))
+    start = F.col("turn") * 5
+    rows = read(spark, d, "conversations").select(
+        F.lit(True).alias("has_quran"), at(start).alias("start_span"), at(start + 1 + F.length("text") % 20).alias("end_span"), F.col("text").alias("phonemes"), F.lit(1.0).alias("match_ratio"),
+        F.col("role").alias("reciter_english_name"), F.concat(F.lit("moshaf_"), "role").alias("config"), F.col("turn").alias("seq"),
+    )
+    out = recordings.agreed(recordings.verses(recordings.segments(rows)))
+    return out.select("surah", F.col("ayah_start").alias("ayah"), "phonemes", F.array_join("configs", ",").alias("configs"))
+
+
 @query("select text, lang, array_to_string(list_sort(list_distinct(list(replace(source, 'src', '')))), ',') as configs from documents group by 1, 2")
 def variant_dedup(spark, d):
     out = stitch.variants(read(spark, d, "documents"), ["text", "lang"], "source", "src")
