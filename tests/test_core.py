@@ -10,7 +10,7 @@ from corpusloom.operators.lookup import Corpus
 from corpusloom.sources import readers, sinks
 from corpusloom.sources.schemas import KEYS, TABLES
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, value, column):
@@ -155,5 +155,5 @@ def test_registered_queries_match_their_sql(spark):
         con.register("got", got)
         con.register("want", want)
         names = ", ".join(f'"{c}"' for c in sorted(got.columns))
-        both = [con.sql(f"select count(*) from (select {names} from {x} except all select {names} from {y})").fetchone()[0] for x, y in (("got", "want"), ("want", "got"))]
+        both = [con.execute(f"select count(*) from (select {names} from {x} except all select {names} from {y})").fetchall()[0][0] for x, y in (("got", "want"), ("want", "got"))]
         assert both == [0, 0], name
