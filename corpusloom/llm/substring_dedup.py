@@ -113,6 +113,12 @@ def texts_of(table: pa.Table) -> list[tuple[int, bytes]]:
     return [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in zip(ids, table.column(table.num_columns - 2).to_pylist())]
 
 
+def in_order(texts: list[tuple[int, bytes]]) -> list[int]:
+    """The places of a block's rows by doc_id and text. Spark hands a group's rows over in any order, so a row is known
+    by its rank here; rows of equal rank differ in no byte and get the same spans."""
+    return sorted(range(len(texts)), key=texts.__getitem__)
+
+
 def digest(text: bytes) -> tuple[int, int]:
     d = hashlib.blake2b(text, digest_size=16).digest()
     return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
@@ -224,6 +230,7 @@ def contexts(blocks: int, length: int):
         for columns in zip(*(reply[c].to_pylist() for c in ("high", "low", "docs"))):
             least.update({(h, l): d for h, l, d in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(columns, ("<u8", "<u8", "<i8"))))})
         texts = texts_of(table)
+        texts = [texts[k] for k in in_order(texts)]
         digests = [digest(t) if len(t) >= length else None for _, t in texts]
         for d, (doc, _) in zip(digests, texts):
             if d is not None:
@@ -379,8 +386,11 @@ def applied(keep: list[str], text: str | None, count: str | None):
         spans = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, "<i8").reshape(-1, 3) for x in reply["spans"].to_pylist())])
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         bounds = np.searchsorted(spans[:, 0], np.arange(table.num_rows + 1))
+        texts = texts_of(table)
+        rank = np.empty(len(texts), np.int64)
+        rank[in_order(texts)] = np.arange(len(texts))
         gone, kept, sizes = [], [], []
-        for k, (_, body) in enumerate(texts_of(table)):
+        for k, (_, body) in zip(rank.tolist(), texts):
             own = spans[bounds[k] : bounds[k + 1], 1:]
             sizes.append(len(body))
             if not len(own):
