@@ -5,12 +5,16 @@ its language by Jensen-Shannon distance (base 2, so 0 to 1). A language's refere
 documents' histograms over the whole corpus. Base rules on length and repetition come first.
 
 Defined cases: a null text is an empty one; empty and very short texts fail the base rules; a null or rare
-language is compared with the reference of all documents; texts under the minimum lengths skip the
+language is compared with the reference of all documents; where a reference has next to no common words, their absence
+says nothing and only MAX_WORD_DISTANCE holds; texts under the minimum lengths skip the
 comparison that would be noise; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,10 @@ MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.34
 MAX_WORD_DISTANCE = 0.50
+#: A text may come as near as this share to the distance of a text without any common word.
+WITHOUT_WORDS = 0.9
+#: Least share of common words in a reference for that.
+LEAST_COMMON = 0.05
 
 
 def words_of(text: Column) -> Column:
@@ -141,6 +149,29 @@ def references(features: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return out
 
 
+def by_reference(counts: Column, lang: Column, refs: dict, make: Callable[[list[float]], Column]) -> Column | None:
+    """What make gives for the language's reference, else for that of all rows of the same width."""
+    out = None
+    for (name, width), q in sorted(refs.items(), key=lambda x: (x[0][0] is None or x[0][0] == "", str(x[0]))):
+        if name is None:
+            continue
+        test = F.size(counts) == width
+        if name:
+            test &= lang == F.lit(name)
+        out = F.when(test, make(q)) if out is None else out.when(test, make(q))
+    return out
+
+
+def word_limit(reference: list[float]) -> float:
+    """The largest word distance that a kept text may have: below that of a text without any common word."""
+    rest = reference[-1]
+    if rest > 1 - LEAST_COMMON:
+        return MAX_WORD_DISTANCE
+    # all words are other ones: (log2(2 / (1 + rest)) + rest * log2(2 * rest / (1 + rest)) + the reference's common words) / 2
+    half = math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest > 0 else 0.0) + (1 - rest)
+    return min(MAX_WORD_DISTANCE, WITHOUT_WORDS * math.sqrt(max(half / 2, 0.0)))
+
+
 def distance(counts: Column, lang: Column, refs: dict) -> Column:
     """Jensen-Shannon distance to the language's reference, else to that of all rows of the same width; 0 without one."""
 
@@ -154,14 +185,7 @@ def distance(counts: Column, lang: Column, refs: dict) -> Column:
         terms = F.zip_with(p, ref, lambda a, b: (half(a, b) + half(b, a)) / 2)
         return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
-    out = None
-    for (name, width), q in sorted(refs.items(), key=lambda x: (x[0][0] is None or x[0][0] == "", str(x[0]))):
-        if name is None:
-            continue
-        test = F.size(counts) == width
-        if name:
-            test &= lang == F.lit(name)
-        out = F.when(test, js(q)) if out is None else out.when(test, js(q))
+    out = by_reference(counts, lang, refs, js)
     return F.lit(0.0) if out is None else F.coalesce(out, F.lit(0.0))
 
 
@@ -170,11 +194,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
     features = cut(base_features(docs, key, text, lang))
     refs = references(features)
     total = F.aggregate("chars", F.lit(0.0), lambda s, x: s + x)
+    limit = by_reference(F.col("common"), F.col("lang"), refs["common"], lambda q: F.lit(word_limit(q)))
     rows = features.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         F.when(total >= MIN_CHARS, distance(F.col("chars"), F.col("lang"), refs["chars"])).alias("char_distance"),
         F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("common"), F.col("lang"), refs["common"])).alias("word_distance"),
+        (F.lit(None).cast("double") if limit is None else limit).alias("word_limit"),
     )
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    fits = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("word_limit", F.lit(MAX_WORD_DISTANCE)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "char_distance", "word_distance")

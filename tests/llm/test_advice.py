@@ -8,7 +8,7 @@ import sys
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusloom.llm import substring_dedup
+from corpusloom.llm import quality_rules, substring_dedup
 from tests.llm.test_operators import brute_spans
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,7 +16,7 @@ CLUSTER = """
 import random, sys
 from pyspark.sql import SparkSession
 sys.path.insert(0, sys.argv[1])
-from corpusloom.llm import substring_dedup
+from corpusloom.llm import quality_rules, substring_dedup
 from tests.llm.test_advice import passages
 from tests.llm.test_operators import brute_spans
 spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
@@ -66,3 +66,18 @@ def test_spans_on_several_executors():
     env = os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH", "")]))}
     run = subprocess.run([sys.executable, "-c", CLUSTER, ROOT], capture_output=True, text=True, timeout=300, env=env)
     assert "WRONG 0 of 1500" in run.stdout, run.stdout + run.stderr[-2000:]
+
+
+def test_word_salad_is_rejected(spark):
+    """Texts without any common word of their language go; texts with them stay, and so do languages without a list."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopr") for _ in range(rng.randint(3, 9)))
+
+    def prose(lang):
+        return " ".join(rng.choice(quality_rules.COMMON_WORDS[lang]) if rng.random() < 0.17 else word() for _ in range(150))
+
+    rows = [(f"good {lang} {i}", prose(lang), lang) for lang in quality_rules.COMMON_WORDS for i in range(60)]
+    rows += [(f"salad {lang} {i}", " ".join(word() for _ in range(150)), lang) for lang in quality_rules.COMMON_WORDS for i in range(6)]
+    rows += [(f"good fi {i}", " ".join("x" + word() for _ in range(150)), "fi") for i in range(60)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
+    assert [d for d, k in kept.items() if k != d.startswith("good")] == []
