@@ -5,7 +5,8 @@ of the text's structure, occur in a document. It gives every document a posterio
 Rates r >= 0 (how often a document is drawn, in expectation) then solve a least-squares problem: the expected tokens
 of each domain, the sum of r * tokens * posterior, shall equal targets. Each round of projected gradient is one
 aggregation to a vector and a matrix of the size of the domains; a document's rate follows from the steps so far, so
-nothing is kept between rounds. Steps are scaled by the curvature over the documents whose rate isn't zero.
+nothing is kept between rounds. Steps are scaled by the curvature over the documents whose rate isn't zero. Rounds end when
+the targets are met, or when the projected gradient is zero: then no rates meet them better. A miss that is left is logged.
 
 Training takes at most `most_rows` labelled rows, chosen by a hash of the id; totals cover all documents. A token is a
 word here: words are parted by ASCII blanks.
@@ -18,6 +19,7 @@ own with the same rate; an empty table gives an empty result; other columns pass
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 
@@ -28,13 +30,17 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import cut, fresh
 from corpusloom.llm.quality_rules import SYMBOLS, words_of
 
+LOG = logging.getLogger(__name__)
 MOST_ROWS = 8000
 #: Words and marks that the classifier looks at, and in how many sampled documents each must occur.
 CHOSEN = 160
 LEAST_DOCUMENTS = 8
-ROUNDS = 40
+ROUNDS = 400
 #: Largest miss of any domain's target, as a share of all tokens, at which the rounds end.
 CLOSE = 1e-6
+#: Targets that nonnegative rates can't meet: the squared projected gradient, as a share of its largest possible value, at
+#: which no rate can lower the miss any more.
+STILL = 1e-12
 
 
 def with_marks(rows: DataFrame, text: str, words: str) -> DataFrame:
@@ -160,24 +166,34 @@ def solve(features: DataFrame, posterior: str, tokens: str, d: int, goal: Callab
         row = features.select(tokens, posterior, rate(posterior, steps).alias("r")).agg(*sums, *curve).first()
         return np.array([row[f"s{i}"] or 0.0 for i in range(d)]), np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
 
+    def still(steps: list[list[float]], s: np.ndarray, m: np.ndarray) -> bool:
+        """Whether the miss falls along no rate: not over the documents in use, nor by one that is at zero."""
+        miss = s - target
+        least = STILL * total * float(miss @ miss)
+        inside = float(miss @ m @ miss)  # the sum of tokens * (posterior . miss)^2 where the rate isn't zero
+        if inside > least:
+            return False
+        slope = F.aggregate(F.zip_with(F.col(posterior), F.array(*[F.lit(float(x)) for x in miss]), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+        rows = features.select(t.alias("t"), slope.alias("g"), rate(posterior, steps).alias("r")).where((F.col("r") <= 0) & (F.col("g") < 0))
+        return inside + (rows.agg(F.sum(F.col("t") * F.col("g") * F.col("g"))).first()[0] or 0.0) <= least
+
     steps: list[list[float]] = []
     s, m = measured(steps)
     target, total = np.asarray(goal(s), dtype=float), max(float(s.sum()), 1.0)
     scale = 1.0
     for _ in range(ROUNDS):
-        if float(np.abs(s - target).max()) / total <= CLOSE or scale < 1e-3:
+        if float(np.abs(s - target).max()) / total <= CLOSE or scale < 1e-9 or still(steps, s, m):
             break
         # a little of the identity keeps a step bounded where a domain has next to no documents
         step = scale * np.linalg.solve(m + np.eye(d) * total * 1e-6, s - target)
         new, curve = measured([*steps, step.tolist()])
         if ((new - target) ** 2).sum() < ((s - target) ** 2).sum():
-            gained = ((new - target) ** 2).sum() < 0.98 * ((s - target) ** 2).sum()
             steps.append(step.tolist())
             s, m, scale = new, curve, min(1.0, 2 * scale)
-            if not gained:
-                break  # targets that nonnegative rates can't meet: this is the least miss
         else:
             scale /= 2
+    left = float(np.abs(s - target).max()) / total
+    (LOG.info if left <= CLOSE else LOG.warning)("mixing: expected tokens %s, targets %s, largest miss %.2g of all tokens after %d steps", s.tolist(), target.tolist(), left, len(steps))
     return steps
 
 

@@ -5,10 +5,11 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusloom.llm import quality_rules, substring_dedup
+from corpusloom.llm import mixing, quality_rules, substring_dedup
 from tests.llm.test_operators import brute_spans
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,7 +17,7 @@ CLUSTER = """
 import random, sys
 from pyspark.sql import SparkSession
 sys.path.insert(0, sys.argv[1])
-from corpusloom.llm import quality_rules, substring_dedup
+from corpusloom.llm import mixing, quality_rules, substring_dedup
 from tests.llm.test_advice import passages
 from tests.llm.test_operators import brute_spans
 spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
@@ -81,3 +82,39 @@ def test_word_salad_is_rejected(spark):
     rows += [(f"good fi {i}", " ".join("x" + word() for _ in range(150)), "fi") for i in range(60)]
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
     assert [d for d, k in kept.items() if k != d.startswith("good")] == []
+
+
+def features_of(spark, posteriors, tokens):
+    return spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(zip(tokens, posteriors))], "doc_id long, tokens long, posterior array<double>").coalesce(1).cache()
+
+
+def totals(posteriors, tokens, steps):
+    p, t = np.array(posteriors), np.array(tokens, float)
+    r = np.ones(len(t))
+    for s in steps:
+        r = np.maximum(r - p @ np.array(s), 0)
+    return (r * t) @ p
+
+
+def test_mixing_meets_targets_that_can_be_met(spark):
+    """Many documents look a little toxic: some rounds gain little, and the last still ends at the targets."""
+    rng = np.random.default_rng(0)
+    toxic = np.concatenate([rng.beta(0.3, 20, 700), rng.beta(2, 6, 300)])
+    low = (1 - toxic) * rng.beta(0.4, 2, 1000)
+    p = np.stack([1 - toxic - low, low, toxic], axis=1).tolist()
+    t = rng.integers(20, 900, 1000).tolist()
+    full = totals(p, t, [])
+    rows = features_of(spark, p, t)
+    for keep in (0.1, 0.02):
+        target = full * np.array([1, 1, keep])
+        steps = mixing.solve(rows, "posterior", "tokens", 3, mixing.factors_of({"c": keep}, ["a", "b", "c"]))
+        got = totals(p, t, steps)
+        assert np.abs(got - target).max() <= 1e-5 * full.sum()
+
+
+def test_mixing_stops_at_the_least_miss(spark, caplog):
+    """No rates give the second domain more than the first here; the least miss gives both half of what is asked for."""
+    p, t = [[0.5, 0.5], [0.7, 0.3], [0.9, 0.1]] * 20, [100] * 60
+    steps = mixing.solve(features_of(spark, p, t), "posterior", "tokens", 2, lambda s: np.array([0.0, 1000.0]))
+    assert np.allclose(totals(p, t, steps), [500, 500], atol=1) and len(steps) < mixing.ROUNDS
+    assert "largest miss 0.083" in caplog.text
