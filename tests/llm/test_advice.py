@@ -8,16 +8,17 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from tokenizers import Tokenizer
 
-from corpusloom.llm import mixing, quality_rules, substring_dedup
-from tests.llm.test_operators import brute_spans
+from corpusloom.llm import mixing, packing, quality_rules, substring_dedup
+from tests.llm.test_operators import FILE, brute_spans
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CLUSTER = """
 import random, sys
 from pyspark.sql import SparkSession
 sys.path.insert(0, sys.argv[1])
-from corpusloom.llm import mixing, quality_rules, substring_dedup
+from corpusloom.llm import mixing, packing, quality_rules, substring_dedup
 from tests.llm.test_advice import passages
 from tests.llm.test_operators import brute_spans
 spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
@@ -118,3 +119,11 @@ def test_mixing_stops_at_the_least_miss(spark, caplog):
     steps = mixing.solve(features_of(spark, p, t), "posterior", "tokens", 2, lambda s: np.array([0.0, 1000.0]))
     assert np.allclose(totals(p, t, steps), [500, 500], atol=1) and len(steps) < mixing.ROUNDS
     assert "largest miss 0.083" in caplog.text
+
+
+def test_packing_of_long_runs_of_blanks():
+    """Runs of 2,000,000 blanks, and runs around the limit, give the library's ids."""
+    encode, library = packing.encoder(FILE), Tokenizer.from_file(FILE)
+    for run in (" " * 2_000_000, "\n" * 2_000_000, " \n\t\u3000" * 500_000, " " * packing.BLANKS, " " * (packing.BLANKS + 1)):
+        for text in (run, f"some words{run}more <|endoftext|> words"):
+            assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
