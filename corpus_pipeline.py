@@ -13,8 +13,6 @@ from corpusloom.llm.queries import DOMAINS, domains_of, fold, pieces_digest, tab
 
 #: The pipeline keeps what clean text has, and nearly nothing of toxic text.
 FACTORS = {"toxic": 0.02}
-#: Rates this close to 1 count as 1, so that clean documents aren't dropped or doubled by lot.
-SLACK = 0.45
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says."""
     goal = mixing.factors_of(FACTORS, DOMAINS)
-    return mixing.mixed(docs, domains_of(table(spark, sf_dir, "labels")), DOMAINS, goal, slack=SLACK)
+    return mixing.mixed(docs, domains_of(table(spark, sf_dir, "labels")), DOMAINS, goal)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

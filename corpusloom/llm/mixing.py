@@ -216,11 +216,10 @@ def plan(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[
     return model, solve(features, "posterior", "tokens", len(domains), goal), features
 
 
-def copies(rate_: Column, key: str, slack: float = 0.0) -> Column:
-    """Whole copies whose expectation is the rate: its floor, and one more by a hash of the id. A rate within `slack` of 1 is one copy."""
+def copies(rate_: Column, key: str) -> Column:
+    """Whole copies whose expectation is the rate: its floor, and one more by a hash of the id."""
     part = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    whole = F.floor(rate_ + part).cast("int")
-    return F.when(F.abs(rate_ - 1) <= slack, F.lit(1)).otherwise(whole)
+    return F.floor(rate_ + part).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,11 +230,11 @@ def mix(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[
     return rows.select("doc_id", "tokens", *p, "rate", copies(F.col("rate"), "doc_id").alias("copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text", slack: float = 0.05) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all columns, each as often as its rate says."""
     model, steps, _ = plan(docs, labels, domains, goal, key, text)
     posterior, tokens, n = (fresh(docs, x) for x in ("mixing_posterior", "mixing_tokens", "mixing_copies"))
     rows = with_posteriors(docs, model, text, posterior, tokens)
     # a row id beside the copies keeps the filter above this step: below, it would work out the posterior once more for each use
-    rows = rows.select(*docs.columns, copies(rate(posterior, steps), key, slack).alias(n), F.monotonically_increasing_id().alias(posterior))
+    rows = rows.select(*docs.columns, copies(rate(posterior, steps), key).alias(n), F.monotonically_increasing_id().alias(posterior))
     return rows.where((F.col(n) > 0) & (F.col(posterior) >= 0)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -10,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from corpusloom.llm import mixing, packing, quality_rules, substring_dedup
+from corpusloom.llm.queries import DOMAINS, domains_of, table
 from tests.llm.test_operators import FILE, brute_spans
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -18,7 +20,9 @@ CLUSTER = """
 import random, sys
 from pyspark.sql import SparkSession
 sys.path.insert(0, sys.argv[1])
+import corpus_pipeline
 from corpusloom.llm import mixing, packing, quality_rules, substring_dedup
+from corpusloom.llm.queries import DOMAINS, domains_of, table
 from tests.llm.test_advice import passages
 from tests.llm.test_operators import brute_spans
 spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
@@ -121,6 +125,24 @@ def test_mixing_stops_at_the_least_miss(spark, caplog):
     assert "largest miss 0.083" in caplog.text
 
 
+def test_pipeline_mixes_to_its_targets(spark):
+    """The tokens of the rows that come out, by domain: the targets, but for the lot of each document."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = table(spark, at, "documents"), domains_of(table(spark, at, "labels"))
+    _, steps, features = mixing.plan(docs, labels, DOMAINS, mixing.factors_of(corpus_pipeline.FACTORS, DOMAINS))
+    rows = features.withColumn("rate", mixing.rate("posterior", steps)).toPandas()
+    p, t, r = np.stack(rows.posterior), rows.tokens.to_numpy(float), rows.rate.to_numpy()
+    target = (t @ p) * np.array([corpus_pipeline.FACTORS.get(d, 1.0) for d in DOMAINS])
+    count = {x["doc_id"]: x["count"] for x in corpus_pipeline.mix(spark, docs, at).groupBy("doc_id").count().collect()}
+    n = np.array([count.get(d, 0) for d in rows.doc_id])
+    assert (abs(n - r) < 1).all()
+    part = r - np.floor(r)
+    for some in (r > 1, r < 1):  # rates on both sides of 1 hold in the mean
+        assert abs((n - r)[some].sum()) <= 4 * np.sqrt((part * (1 - part))[some].sum())
+    spread = np.sqrt((t**2 * part * (1 - part)) @ p**2)
+    assert (abs((n * t) @ p - target) <= 4 * spread).all()
+
+
 def test_packing_of_long_runs_of_blanks():
     """Runs of 2,000,000 blanks, and runs around the limit, give the library's ids."""
     encode, library = packing.encoder(FILE), Tokenizer.from_file(FILE)
