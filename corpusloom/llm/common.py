@@ -29,6 +29,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(df: DataFrame) -> list[Column]:
+    """df's columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
@@ -62,6 +67,19 @@ def block_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def taught_rows(docs: DataFrame, labels: DataFrame, marks: list[str], key: str, text: str, most_rows: int, salt: int) -> DataFrame:
+    """(id, text, marks): the drawn rows of labels (id, marks) with their document's text; at most most_rows, whatever repeats.
+
+    Rows of labels are drawn by a hash of the id, ties by what they hold, so the same tables give the same sample however they
+    are dealt. Of rows of docs with one id, the one whose text has the smallest hash teaches."""
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(salt)), F.lit(1 << 30))
+    known = cut(labels.select("id", *marks, draw.alias("draw")).orderBy("draw", "id", *marks).limit(most_rows).select("id", *marks))
+    ids = F.broadcast(known.select("id").distinct())  # most_rows ids at most
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id")
+    single = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
+    return single.join(F.broadcast(known), "id").select("id", "text", *marks)
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type) for f, v in zip(schema, (columns[f.name] for f in schema))], schema=schema)
 

@@ -19,10 +19,10 @@ import json
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import per_text
+from corpusloom.llm.common import cut, per_text
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
@@ -67,17 +67,22 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, learn: Column, key: str, text: str, lang: str, per_language: int, most_rows: int) -> list:
-    """At most most_rows rows of (language, hashed counts), at most about per_language of each language."""
+    """At most most_rows rows of (language, hashed counts), at most per_language ids of each language and one row of each id;
+    the same rows however the table is dealt."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, most_rows)).collect()}
     if not sizes:
         return []
     each = max(1, min(per_language, most_rows // len(sizes)))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
-    # about `each` rows of every language, by a threshold on a hash of the id
-    limits = [F.when(F.col("lang") == name, F.lit(int((1 << 30) * min(1.0, 1.15 * each / n)))) for name, n in sizes.items()]
-    rows = rows.where(draw < F.coalesce(*limits, F.lit(0)))
-    return per_text(rows, ["lang"], "text", "c binary", lambda: lambda texts: ((sparse(counts(t)),) for t in texts)).limit(most_rows + most_rows // 5).collect()
+    # somewhat more than `each` ids of every language by a threshold on a hash of the id, and of these the first
+    limits = [F.when(F.col("lang") == name, F.lit(int((1 << 30) * min(1.0, 1.15 * each / n)) + 1)) for name, n in sizes.items()]
+    near = rows.where(draw < F.coalesce(*limits, F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    chosen = cut(near.select("lang", "id", draw.alias("draw")).distinct().withColumn("first", first).where(F.col("first") <= each).select("lang", "id"))
+    taken = near.join(F.broadcast(chosen), near["lang"].eqNullSafe(chosen["lang"]) & near["id"].eqNullSafe(chosen["id"])).select(near["lang"], near["id"], near["text"])
+    counted = per_text(taken, ["lang", "id"], "text", "c binary", lambda: lambda texts: ((sparse(counts(t)),) for t in texts))
+    return counted.groupBy("lang", "id").agg(F.min("c").alias("c")).select("lang", "c").collect()  # most_rows rows at most
 
 
 def sparse(c: np.ndarray) -> bytes:

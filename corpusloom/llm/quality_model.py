@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, per_text
+from corpusloom.llm.common import fresh, per_text, taught_rows
 
 BUCKETS = 1 << 13
 RANK = 6
@@ -111,20 +111,16 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> dict:
-    """learn: a Column over `id` that tells the rows that may teach. The sample is at most most_rows rows of labels."""
+    """learn: a Column over `id` that tells the rows that may teach. The sample is at most most_rows rows of labels, the same
+    however the tables are dealt."""
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    n = known.count()
-    if not n:
-        return train([])
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
-    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, most_rows / n)))).limit(most_rows)
-    taught = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")  # most_rows rows of two numbers
+    taught = taught_rows(docs, known, ["y"], key, text, most_rows, 3)
 
     def make():
         features = Features()
         return lambda texts: ((at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for at, x in map(features.of, texts))
 
-    rows = per_text(taught, ["id", "y"], "text", "i binary, x binary", make).limit(2 * most_rows).collect()
+    rows = per_text(taught, ["id", "y"], "text", "i binary, x binary", make).collect()  # most_rows rows at most
     return train([(r["y"], np.frombuffer(r["i"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in sorted(rows, key=lambda r: (r["id"], r["y"], r["i"]))])
 
 
