@@ -3,10 +3,12 @@
 A multinomial logistic classifier learns domains from a labelled table: which of some chosen words, and of some marks
 of the text's structure, occur in a document. It gives every document a posterior over the domains (soft membership).
 Rates r >= 0 (how often a document is drawn, in expectation) then solve a least-squares problem: the expected tokens
-of each domain, the sum of r * tokens * posterior, shall equal targets. Each round of projected gradient is one
-aggregation to a vector and a matrix of the size of the domains; a document's rate follows from the steps so far, so
-nothing is kept between rounds. Steps are scaled by the curvature over the documents whose rate isn't zero. Rounds end when
-the targets are met, or when the projected gradient is zero: then no rates meet them better. A miss that is left is logged.
+of each domain, the sum of r * tokens * posterior, shall equal targets, and of all rates that do so as well the ones
+nearest to 1 are taken. Each round of projected gradient is one aggregation to vectors and matrices of the size of the
+domains: a document's rate is 1 less its posterior times the sum of all steps so far, projected on what isn't negative, so
+nothing is kept between rounds. Steps are the gradient scaled by the curvature over the documents whose rate isn't zero; a round
+tries several lengths of the step at once. Rounds end when the targets are met, or when the gradient is zero: then no rates meet
+them better. A miss that is left is logged.
 
 Training takes at most `most_rows` labelled rows, chosen by a hash of the id; totals cover all documents. A token is a
 word here: words are parted by ASCII blanks.
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, fresh
+from corpusloom.llm.common import cut, fresh, named, taught_rows
 from corpusloom.llm.quality_rules import SYMBOLS, words_of
 
 LOG = logging.getLogger(__name__)
@@ -35,43 +37,40 @@ MOST_ROWS = 8000
 #: Words and marks that the classifier looks at, and in how many sampled documents each must occur.
 CHOSEN = 160
 LEAST_DOCUMENTS = 8
-ROUNDS = 400
+ROUNDS = 60
 #: Largest miss of any domain's target, as a share of all tokens, at which the rounds end.
 CLOSE = 1e-6
-#: Targets that nonnegative rates can't meet: the squared projected gradient, as a share of its largest possible value, at
-#: which no rate can lower the miss any more.
-STILL = 1e-12
+#: How much more a miss weighs than a rate's distance from 1, both as shares of all tokens.
+WEIGHT = 1e8
+#: Targets that nonnegative rates can't meet: the gradient, as a share of all tokens, at which no rate can lower the miss any more.
+STILL = 1e-9
+#: Lengths of a step that one round tries.
+LENGTHS = (1.0, 0.3, 0.05, 0.003)
 
 
 def with_marks(rows: DataFrame, text: str, words: str) -> DataFrame:
     """Adds the column `words`: lower-cased words and marks of structure (which hold a blank, so no word equals one), and
     `<words>_n`, the number of words."""
-    few, plain, n = (fresh(rows, f"{words}_{x}") for x in ("few", "plain", "n"))
+    few, plain, size, n = (fresh(rows, f"{words}_{x}") for x in ("few", "plain", "size", "n"))
+    marks = [fresh(rows, f"{words}_{x}") for x in ("symbols", "capitals", "bangs")]
     body = F.coalesce(F.col(text), F.lit(""))
-    rest = rows.columns
-    rows = rows.select(*rest, F.regexp_replace(body, "[a-z ]+", "").alias(few), words_of(F.lower(body)).alias(plain), F.length(body).alias(fresh(rows, f"{words}_size")))
-    size = F.col(rows.columns[-1])
-    m, k = F.greatest(size, F.lit(1)), F.size(plain)
-    symbols = F.length(F.regexp_replace(few, f"[^{SYMBOLS}]+", "")) / m
-    capitals = F.length(F.regexp_replace(few, "[^A-Z]+", "")) / m
-    bangs = F.length(F.regexp_replace(few, "[^!?]+", "")) / m
-    rows = rows.select(*rest, plain, F.array_distinct(plain).alias(few), F.floor(F.least(symbols * 25, F.lit(5))).alias(f"{few}_s"), F.floor(F.least(capitals * 10, F.lit(5))).alias(f"{few}_c"), F.floor(F.least(bangs * 25, F.lit(5))).alias(f"{few}_b"))
+    rest = named(rows)
+    rows = rows.select(*rest, F.regexp_replace(body, "[a-z ]+", "").alias(few), words_of(F.lower(body)).alias(plain), F.length(body).alias(size))
+    share = lambda kept: F.length(F.regexp_replace(few, f"[^{kept}]+", "")) / F.greatest(F.col(size), F.lit(1))
+    grades = [F.floor(F.least(share(kept) * by, F.lit(5))).alias(name) for name, kept, by in zip(marks, (SYMBOLS, "A-Z", "!?"), (25, 10, 25))]
+    rows = rows.select(*rest, plain, F.array_distinct(plain).alias(few), *grades)
+    k = F.size(plain)
     variety = F.floor(F.size(few) / F.greatest(k, F.lit(1)) * 6)
     length = F.floor(F.least(F.log2(k + 1), F.lit(9)))
-    marks = [F.concat(F.lit(f" {name} "), c.cast("string")) for name, c in (("symbols", F.col(f"{few}_s")), ("capitals", F.col(f"{few}_c")), ("bangs", F.col(f"{few}_b")), ("variety", variety), ("length", length))]
-    return rows.select(*rest, F.concat(F.col(few), F.array(*marks)).alias(words), k.cast("long").alias(n))
+    found = [F.concat(F.lit(f" {name} "), c.cast("string")) for name, c in zip(("symbols", "capitals", "bangs", "variety", "length"), (*map(F.col, marks), variety, length))]
+    return rows.select(*rest, F.concat(F.col(few), F.array(*found)).alias(words), k.cast("long").alias(n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", most_rows: int = MOST_ROWS) -> dict:
     """The classifier: base log-weights of the domains, and log-weights by chosen word. labels: (key, domain)."""
     known = labels.select(F.col(key).alias("id"), F.col(domain).alias("domain")).where(F.col("domain").isin(*domains) & F.col("id").isNotNull())
-    total = known.count()
     even: dict = {"base": [-math.log(len(domains))] * len(domains), "words": {}}
-    if not total:
-        return even
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1 << 30))
-    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, most_rows / total)))).limit(most_rows)
-    taught = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")  # most_rows rows of an id and a domain
+    taught = taught_rows(docs, known, ["domain"], key, text, most_rows, 11)
     rows = cut(with_marks(taught.select("domain", "text"), "text", "w").select("domain", "w"))
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     n = sum(sizes.values())
@@ -90,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_
     sample = rows.select("domain", F.filter("w", lambda w: w.isin(*names)).alias("w")).collect()  # most_rows rows of CHOSEN words at most
     x, y = np.zeros((len(sample), len(names) + 1)), np.zeros((len(sample), len(domains)))
     at = {w: i for i, w in enumerate(names)}
-    for k, r in enumerate(sample):
+    for k, r in enumerate(sorted(sample, key=lambda r: (r["domain"], sorted(r["w"])))):  # one order, so sums come out alike
         x[k, [at[w] for w in r["w"]]] = 1
         x[k, -1] = 1
         y[k, domains.index(r["domain"])] = 1
@@ -126,7 +125,7 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, rounds: int = 600, ridge: f
 def with_posteriors(rows: DataFrame, model: dict, text: str, posterior: str, tokens: str) -> DataFrame:
     """Adds an array of the domains' posteriors and the number of tokens; one narrow pass."""
     words = fresh(rows, "mixing_words")
-    rest = rows.columns
+    rest = named(rows)
     rows = with_marks(rows, text, words)
     base = F.array(*[F.lit(float(x)) for x in model["base"]])
     n = F.col(rows.columns[-1])
@@ -147,54 +146,58 @@ def with_posteriors(rows: DataFrame, model: dict, text: str, posterior: str, tok
 
 def rate(posterior: str, steps: list[list[float]]) -> Column:
     """The rate after the steps: from 1, each step subtracts its product with the posterior, and what falls below 0 is 0."""
-    if not steps:
-        return F.lit(1.0)
-    dot = lambda p, s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    each = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(each, F.lit(1.0), lambda r, s: F.greatest(r - dot(F.col(posterior), s), F.lit(0.0)))
+    out = F.lit(1.0)
+    for step in steps:
+        falls = [F.get(F.col(posterior), i) * F.lit(float(x)) for i, x in enumerate(step)]
+        out = F.greatest(out - sum(falls[1:], falls[0]), F.lit(0.0))
+    return out
 
 
 def solve(features: DataFrame, posterior: str, tokens: str, d: int, goal: Callable[[np.ndarray], np.ndarray]) -> list[list[float]]:
-    """Steps of projected gradient. goal: from the domains' expected tokens at rate 1 to the targets."""
+    """The steps of projected gradient, added up to one. goal: from the domains' expected tokens at rate 1 to the targets."""
     p = [F.get(F.col(posterior), i) for i in range(d)]
     t = F.col(tokens).cast("double")
-
-    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of the domains after the steps, and the curvature there: one aggregation."""
-        sums = [F.sum(F.col("r") * t * p[i]).alias(f"s{i}") for i in range(d)]
-        curve = [F.sum(F.when(F.col("r") > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
-        row = features.select(tokens, posterior, rate(posterior, steps).alias("r")).agg(*sums, *curve).first()
-        return np.array([row[f"s{i}"] or 0.0 for i in range(d)]), np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-
-    def still(steps: list[list[float]], s: np.ndarray, m: np.ndarray) -> bool:
-        """Whether the miss falls along no rate: not over the documents in use, nor by one that is at zero."""
-        miss = s - target
-        least = STILL * total * float(miss @ miss)
-        inside = float(miss @ m @ miss)  # the sum of tokens * (posterior . miss)^2 where the rate isn't zero
-        if inside > least:
-            return False
-        slope = F.aggregate(F.zip_with(F.col(posterior), F.array(*[F.lit(float(x)) for x in miss]), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-        rows = features.select(t.alias("t"), slope.alias("g"), rate(posterior, steps).alias("r")).where((F.col("r") <= 0) & (F.col("g") < 0))
-        return inside + (rows.agg(F.sum(F.col("t") * F.col("g") * F.col("g"))).first()[0] or 0.0) <= least
-
-    steps: list[list[float]] = []
-    s, m = measured(steps)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def measured(sums_of_steps: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each sum of steps the domains' expected tokens, the curvature, and half the tokens times squared rates: one aggregation."""
+        rows = features.select(tokens, posterior, *[rate(posterior, [x.tolist()]).alias(f"r{k}") for k, x in enumerate(sums_of_steps)])
+        cells = []
+        for k in range(len(sums_of_steps)):
+            r = F.col(f"r{k}")
+            cells += [F.sum(r * t * p[i]) for i in range(d)] + [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs] + [F.sum(t * r * r) / 2]
+        found = np.array([x or 0.0 for x in rows.agg(*[c.alias(f"c{k}") for k, c in enumerate(cells)]).first()]).reshape(len(sums_of_steps), -1)
+        out = []
+        for row in found:
+            m = np.zeros((d, d))
+            for (i, j), x in zip(pairs, row[d:-1]):
+                m[i, j] = m[j, i] = x
+            out.append((row[:d], m, float(row[-1])))
+        return out
+
+    at = np.zeros(d)
+    s, m, half = measured([at])[0]
     target, total = np.asarray(goal(s), dtype=float), max(float(s.sum()), 1.0)
-    scale = 1.0
-    for _ in range(ROUNDS):
-        if float(np.abs(s - target).max()) / total <= CLOSE or scale < 1e-9 or still(steps, s, m):
+    weight = total / WEIGHT
+    height = lambda half, at: half + target @ at + weight / 2 * at @ at  # noqa: E731  lowest where the miss balances the rates' distance from 1
+    scale, rounds = 1.0, 0
+    while rounds < ROUNDS and scale > 1e-12 and np.abs(s - target).max() / total > CLOSE:
+        slope = target - s + weight * at
+        if np.abs(slope).max() <= STILL * total:
             break
-        # a little of the identity keeps a step bounded where a domain has next to no documents
-        step = scale * np.linalg.solve(m + np.eye(d) * total * 1e-6, s - target)
-        new, curve = measured([*steps, step.tolist()])
-        if ((new - target) ** 2).sum() < ((s - target) ** 2).sum():
-            steps.append(step.tolist())
-            s, m, scale = new, curve, min(1.0, 2 * scale)
+        step = np.linalg.solve(m + weight * np.eye(d), -slope)
+        tried = [at + scale * x * step for x in LENGTHS]
+        found = measured(tried)
+        rounds += 1
+        best = min(range(len(tried)), key=lambda k: height(found[k][2], tried[k]))
+        lower = height(found[best][2], tried[best]) < height(half, at)
+        if lower or np.abs(target - found[best][0] + weight * tried[best]).max() < np.abs(slope).max():
+            at, (s, m, half), scale = tried[best], found[best], 1.0
         else:
-            scale /= 2
+            scale *= LENGTHS[-1]
     left = float(np.abs(s - target).max()) / total
-    (LOG.info if left <= CLOSE else LOG.warning)("mixing: expected tokens %s, targets %s, largest miss %.2g of all tokens after %d steps", s.tolist(), target.tolist(), left, len(steps))
-    return steps
+    (LOG.info if left <= CLOSE else LOG.warning)("mixing: expected tokens %s, targets %s, largest miss %.2g of all tokens after %d rounds", s.tolist(), target.tolist(), left, rounds)
+    return [at.tolist()] if at.any() else []
 
 
 def shares_of(weights: dict[str, float], domains: list[str]) -> Callable[[np.ndarray], np.ndarray]:
@@ -232,9 +235,10 @@ def mix(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[
 
 def mixed(docs: DataFrame, labels: DataFrame, domains: list[str], goal: Callable[[np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all columns, each as often as its rate says."""
-    model, steps, _ = plan(docs, labels, domains, goal, key, text)
+    model = fit(docs, labels, domains, key, text)
     posterior, tokens, n = (fresh(docs, x) for x in ("mixing_posterior", "mixing_tokens", "mixing_copies"))
-    rows = with_posteriors(docs, model, text, posterior, tokens)
-    # a row id beside the copies keeps the filter above this step: below, it would work out the posterior once more for each use
-    rows = rows.select(*docs.columns, copies(rate(posterior, steps), key).alias(n), F.monotonically_increasing_id().alias(posterior))
-    return rows.where((F.col(n) > 0) & (F.col(posterior) >= 0)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    rows = cut(with_posteriors(docs, model, text, posterior, tokens))  # the posteriors beside the rows, so they are worked out once
+    steps = solve(rows.select(tokens, posterior), posterior, tokens, len(domains), goal)
+    rest = named(docs)
+    drawn = rows.select(*rest, copies(rate(posterior, steps), key).alias(n)).where(F.col(n) > 0)
+    return drawn.select(*rest, F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).select(*rest)
