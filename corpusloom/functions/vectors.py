@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,54 @@ def quantized(a: Column) -> Column:
     """Symmetric 8-bit values of an array (an extension: scale is max|x| / 127)."""
     scale = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))) / 127
     return F.transform(a, lambda x: F.when(scale > 0, F.rint(x.cast("double") / scale)).otherwise(F.lit(0.0)).cast("int"))
+
+
+def palettized(a: Column, bits: int, rounds: int = 20) -> Column:
+    """The array with each value replaced by the nearest of 2^bits levels, found by one-dimensional k-means from evenly spaced
+    quantiles (an extension: the algorithm isn't given). Arrow batches, since levels depend on all values of the array."""
+
+    @F.arrow_udf("array<float>")
+    def found(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else palette(np.array(x, np.float64), 1 << bits, rounds).tolist() for x in lists.to_pylist()], pa.list_(pa.float32()))
+
+    return found(a)
+
+
+def palette(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """x with each value at its level; with k distinct values or fewer, x itself."""
+    if len(np.unique(x)) <= k:
+        return x
+    levels = np.quantile(x, (np.arange(k) + 0.5) / k)
+    for _ in range(rounds):
+        near = np.searchsorted((levels[1:] + levels[:-1]) / 2, x)
+        n = np.bincount(near, minlength=k)
+        levels = np.sort(np.where(n > 0, np.bincount(near, weights=x, minlength=k) / np.maximum(n, 1), levels))
+    return levels[np.searchsorted((levels[1:] + levels[:-1]) / 2, x)]
+
+
+def standardized(frames: Column) -> Column:
+    """Frames (arrays of one size) with each bin at mean 0 and variance 1 over the frames, the variance with n - 1; a bin
+    without variance gives zeros, and fewer than two frames nulls."""
+    n = F.size(frames)
+    wide = F.transform(F.sequence(F.lit(0), F.size(F.get(frames, F.lit(0))) - 1), lambda k: F.transform(frames, lambda f: F.get(f, k).cast("double")))
+
+    def scaled(bins: Column) -> Column:
+        means = F.transform(bins, lambda b: total(b) / n)
+        centred = F.zip_with(bins, means, lambda b, m: F.transform(b, lambda x: x - m))
+        return F.transform(centred, lambda b: F.transform(F.array(F.sqrt(total(F.transform(b, lambda x: x * x)) / F.nullif(n - 1, F.lit(0)))), lambda s: F.transform(b, lambda x: F.when(s > 0, x / s).when(s == 0, 0.0)))[0])
+
+    done = F.transform(F.array(wide), scaled)[0]
+    return F.when(n > 0, F.transform(F.array(done), lambda bins: F.transform(frames, lambda f, i: F.transform(bins, lambda b: F.get(b, i))))[0]).otherwise(frames.cast("array<array<double>>"))
+
+
+def stacked(frames: Column) -> Column:
+    """Each frame of an even place joined with the next one; a last frame without a next one goes."""
+    return F.transform(F.filter(frames, lambda f, i: (i % 2 == 0) & (i + 1 < F.size(frames))), lambda f, i: F.concat(f, F.get(frames, 2 * i + 1)))
+
+
+def greedy_decoded(logits: Column, blank: int = 0) -> Column:
+    """Classes of a frame sequence by greedy connectionist decoding: the largest of each frame, repeats as one, without the blank.
+    The blank's number is a parameter (it isn't documented)."""
+    best = F.transform(logits, argmax)
+    kept = lambda seen: F.filter(seen, lambda c, i: (c != blank) & ((i == 0) | (c != F.get(seen, i - 1))))
+    return F.transform(F.array(best), kept)[0]

@@ -1,70 +1,141 @@
-"""Alignment of characters, phonemes and words, by windows over a text's characters instead of loops."""
+"""Alignment of characters, phonemes and words inside a row: arrays over a text's characters, so nothing is shuffled.
+
+Positions are 0-based code points, words are numbered from 1. What an array function can say is one; a scan that carries a
+state, or a search for each place, takes linear time over Arrow batches. Take
+what they give apart by outer generators (`rows_from`): below others Spark adds a filter, and would call the function for it again."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chars
 
+SPAN = "array<struct<start: int, end: int>>"
+PAIR = "array<struct<ph_idx: int, word: int>>"
+MAP = "array<struct<phoneme_word: int, text_word: int>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often and however deep in lambdas body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once, in a step of its own: the optimiser doesn't merge a generator, here of one row,
+    with what uses the column. Arrow functions need it for arguments with nested lambdas, which Spark can't move into them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def rows_from(df: DataFrame, keep: list[str], arrays: str) -> DataFrame:
+    """The kept columns and, a row each, the structs of an array column."""
+    rows = df.select(*keep, F.explode_outer(arrays).alias("one")).where(F.col("one").isNotNull())
+    return rows.select(*keep, "one.*")
+
+
+def word_index(text: Column) -> Column:
+    """The word of each character; 0 for the blank itself. Only U+0020 parts words."""
+    each = F.transform(F.split(text, " "), lambda w, i: F.concat(F.array_repeat(i + 1, F.length(w)), F.array(F.lit(0))))
+    return F.slice(F.flatten(each), F.lit(1), F.length(text))
+
+
+def offsets(raw: Column, merged: Column) -> Column:
+    """The place in `merged` of each character of `raw`, and of its end. The k-th character that isn't a blank lies at the k-th such
+    of merged, or beyond its end; a blank takes the next one's place, and what follows the last the place after it."""
+    merged = F.coalesce(merged, F.lit(""))
+    places = F.filter(F.transform(chars(merged), lambda c, i: F.when(c != " ", i)), lambda i: i.isNotNull())
+    words = F.split(raw, " ")
+    # blanks before each character and before the end; a character's place less these is its rank, or that of the next one
+    blanks = F.flatten(F.transform(words, lambda w, i: F.array_repeat(i, F.length(w) + 1)))
+    solid = F.length(raw) - F.size(words) + 1
+    known = F.struct(places.alias("places"), blanks.alias("blanks"), solid.alias("n"), F.length(merged).alias("length"))
+
+    def found(z: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(z["places"], k), z["length"] + k - F.size(z["places"]))
+        end = F.when(z["n"] > 0, at(z["n"] - 1) + 1).otherwise(0)
+        return F.transform(z["blanks"], lambda s, i: F.when(i - s < z["n"], at(i - s)).otherwise(end))
+
+    return F.when(raw.isNotNull(), let(known, found))
+
+
+def covered(starts: Column, ends: Column, deleted: Column, words: Column) -> Column:
+    """(ph_idx, word) for each phoneme in the range of a character that isn't deleted and has a word: four arrays over the characters,
+    the last may be shorter. An empty range gives nothing."""
+
+    def one(m: Column) -> Column:
+        some = (m["d"] == 0) & (m["w"] > 0) & (m["e"] > m["s"])
+        return F.when(some, F.transform(F.sequence(m["s"], m["e"] - 1), lambda p: F.struct(p.alias("ph_idx"), m["w"].alias("word")))).otherwise(F.array().cast(PAIR))
+
+    zipped = F.arrays_zip(starts.alias("s"), ends.alias("e"), deleted.alias("d"), words.alias("w"))
+    return F.flatten(F.transform(zipped, one))
+
+
+def rows_of(a: pa.Array, *fields: str):
+    """For each list of an array its values as NumPy arrays, one a field of its structs; None for a null."""
+    offsets_, values = a.offsets.to_numpy(), a.values
+    columns = [values.field(f) for f in fields] if fields else [values]
+    known = [c.fill_null(NONE).to_numpy(zero_copy_only=False) if c.null_count else c.to_numpy(zero_copy_only=False) for c in columns]
+    for i, valid in enumerate(a.is_valid().to_pylist()):
+        yield tuple(c[offsets_[i] : offsets_[i + 1]] for c in known) if valid else None
 
-def characters(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, idx, ch): 0-based."""
-    return df.select(*keys, F.posexplode(chars(F.col(text))).alias("idx", "ch"))
 
+NONE = -(1 << 31)
 
-def word_index(cs: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the 1-based word of each character; 0 for the blank itself. Only U+0020 parts words."""
-    w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum((F.col("ch") == " ").cast("int")).over(w) + 1
-    return cs.withColumn("word", F.when(F.col("ch") == " ", 0).otherwise(n).cast("int"))
 
+def least_words(pairs: Column, n: Column) -> Column:
+    """The smallest word over each of n phonemes, null where there is none. pairs: ph_idx, word."""
 
-def offsets(raw: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, idx, pos): the place in `merged` of each character of `raw`, both (keys, idx, ch). The k-th character that
-    isn't a blank lies at the k-th such of merged, or beyond its end; a blank takes the next one's place, and blanks at
-    the end the place after the last."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    rank = lambda df: df.withColumn("k", F.sum((F.col("ch") != " ").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    target = rank(merged).where("ch <> ' '").select(*keys, (F.col("k") - 1).alias("k"), F.col("idx").alias("at"))
-    sizes = merged.groupBy(*keys).agg(F.count("*").alias("len"), F.count_if(F.col("ch") != " ").alias("m"))
-    r = rank(raw).withColumn("k", F.when(F.col("ch") != " ", F.col("k") - 1).otherwise(F.col("k")))  # a blank looks at the next one
-    total = raw.groupBy(*keys).agg(F.count_if(F.col("ch") != " ").alias("n"))
-    r = r.join(total, keys).join(sizes, keys, "left").join(target, [*keys, "k"], "left")
-    m, length = F.coalesce("m", F.lit(0)), F.coalesce("len", F.lit(0))
-    last = Window.partitionBy(*keys)
-    pos = F.when(F.col("at").isNotNull(), F.col("at")).otherwise(length + F.col("k") - m)
-    r = r.withColumn("pos", F.when(F.col("k") < F.col("n"), pos))
-    end = F.coalesce(F.max("pos").over(last) + 1, F.lit(0))
-    return r.select(*keys, "idx", F.coalesce("pos", end).cast("int").alias("pos"))
+    @F.arrow_udf("array<int>")
+    def found(lists: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = []
+        for own, size in zip(rows_of(lists, "ph_idx", "word"), sizes.to_pylist()):
+            if own is None or size is None:
+                out.append(None)
+                continue
+            place, word = own
+            least = np.full(size, 1 << 31, np.int64)
+            inside = (place >= 0) & (place < size)
+            np.minimum.at(least, place[inside], word[inside])
+            out.append(pa.array(least, pa.int64(), mask=least == 1 << 31).cast(pa.int32()))
+        return pa.array([x if x is None else x.to_pylist() for x in out], pa.list_(pa.int32()))
 
+    return found(pairs, n)
 
-def reinserted(cs: DataFrame, keys: list[str]) -> DataFrame:
-    """cs: (keys, idx, ch, minw), no blanks. A blank goes before a character whose word (its own or the last known)
-    exceeds the one before it, if that is above 0. Returns (keys, text)."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    known = cs.withColumn("w", F.coalesce(F.last("minw", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    prev = F.lag("w", 1, 0).over(w)
-    known = known.withColumn("piece", F.when((F.col("w") > prev) & (prev > 0), F.concat(F.lit(" "), F.col("ch"))).otherwise(F.col("ch")))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("idx", "piece"))), lambda x: x["piece"])
-    return known.groupBy(*keys).agg(F.array_join(parts, "").alias("text"))
 
+def reinserted(text: Column, least: Column) -> Column:
+    """The text without blanks, and a blank before each character whose word (its own or the last known) exceeds the one before
+    it, if that is above 0. least: the word of each character, or null."""
+
+    @F.arrow_udf("string")
+    def found(texts: pa.Array, words: pa.Array) -> pa.Array:
+        out = []
+        for body, own in zip(texts.to_pylist(), rows_of(words)):
+            if body is None or own is None:
+                out.append(None)
+                continue
+            x = np.frombuffer(body.encode("utf-32-le"), "<u4")
+            w = np.full(len(x), NONE, np.int64)
+            w[: len(own[0])] = own[0][: len(x)]
+            x, w = x[x != 32], w[x != 32]
+            last = np.maximum.accumulate(np.where(w != NONE, np.arange(len(w)), -1)) if len(w) else np.zeros(0, np.int64)
+            word = np.where(last >= 0, w[last], 0) if len(w) else w
+            before = np.concatenate([[0], word[:-1]]) if len(w) else w
+            out.append(np.insert(x, np.flatnonzero((word > before) & (before > 0)), 32).astype("<u4").tobytes().decode("utf-32-le"))
+        return pa.array(out, pa.string())
 
-def covered(mappings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ph_idx, word) for each phoneme in the range of a character that isn't deleted and has a word. An empty range gives nothing."""
-    some = mappings.where((F.col("deleted") == 0) & (F.col("word") > 0) & (F.col("ph_end") > F.col("ph_start")))
-    return some.select(*keys, "word", F.explode(F.sequence("ph_start", F.col("ph_end") - 1)).alias("ph_idx")).distinct()
+    return found(text, least)
 
 
 def spans(text: Column, parts: Column, gap: int = 0) -> Column:
     """[start, end) of each part, found from the end of the one before (plus gap) on; one that isn't found starts there.
 
-    The search is a chain: where a part starts depends on every one before it. A fold of array functions copies its array at
-    each step and counts code points from the text's start, so it grows with the square of a long text; this takes linear
-    time over Arrow batches. Null for a null text or null parts."""
+    The search is a chain: where a part starts depends on every one before it. Null for a null text or null parts."""
 
-    @F.arrow_udf("array<struct<start: int, end: int>>")
+    @F.arrow_udf(SPAN)
     def found(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for body, own in zip(texts.to_pylist(), lists.to_pylist()):
@@ -83,15 +154,102 @@ def spans(text: Column, parts: Column, gap: int = 0) -> Column:
     return found(text, parts)
 
 
-def word_map(token_spans: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, phoneme_word, text_word): words of the phonemes in each token's span. token_spans: keys, phoneme_word, start, end; words:
-    keys, ph_idx, word. A span becomes a row a place, so the join is by equality."""
-    places = token_spans.where("end > start").select(*keys, "phoneme_word", F.explode(F.sequence("start", F.col("end") - 1)).alias("ph_idx"))
-    return places.join(words, [*keys, "ph_idx"]).where("word > 0").select(*keys, "phoneme_word", F.col("word").alias("text_word")).distinct()
+def token_spans(text: Column) -> Column:
+    """[start, end) of each token of a text whose tokens are parted by single blanks: from one blank to the next."""
+    blanks = F.filter(F.transform(chars(text), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+    edges = F.concat(F.array(F.lit(-1)), blanks, F.array(F.length(text)))
+
+    def between(e: Column) -> Column:
+        return F.transform(F.slice(e, F.lit(2), F.size(e) - 1), lambda end, i: F.struct((F.get(e, i) + 1).alias("start"), end.alias("end")))
+
+    return let(edges, between)
 
 
-def or_identity(found: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """The map, and for keys without one each word to itself. counts: keys, n."""
-    rest = counts.where("n > 0").join(found.select(*keys).distinct(), keys, "left_anti")
-    same = rest.select(*keys, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("phoneme_word"))
-    return found.unionByName(same.withColumn("text_word", F.col("phoneme_word")))
+def inside(spans_, pairs_):
+    """For NumPy spans and (place, word) pairs: (span, word) of every pair whose place lies in the span."""
+    (start, end), (place, word) = spans_, pairs_
+    order = np.argsort(place, kind="stable")
+    place, word = place[order], word[order]
+    first, last = np.searchsorted(place, start), np.searchsorted(place, end)
+    n = np.maximum(last - first, 0)
+    begins = np.cumsum(n) - n
+    return np.repeat(np.arange(len(n)), n), word[np.repeat(first - begins, n) + np.arange(n.sum())]
+
+
+def word_map(tokens: Column, pairs: Column) -> Column:
+    """Distinct (phoneme_word, text_word), in order: for each token's span the words of the phonemes in it. tokens: start, end;
+    pairs: ph_idx, word."""
+
+    @F.arrow_udf(MAP)
+    def found(lists: pa.Array, known: pa.Array) -> pa.Array:
+        sizes, spans_out, words_out, valid = [0], [], [], []
+        for own, under in zip(rows_of(lists, "start", "end"), rows_of(known, "ph_idx", "word")):
+            valid.append(own is not None and under is not None)
+            if valid[-1]:
+                span, word = inside(own, under)
+                some = word > 0
+                code = np.unique((span[some].astype(np.int64) + 1) << 32 | word[some])
+                spans_out.append(code >> 32)
+                words_out.append(code & 0xFFFFFFFF)
+            sizes.append(len(spans_out[-1]) if valid[-1] else 0)
+        flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()).cast(pa.int32()) for x in (spans_out, words_out)]
+        values = pa.StructArray.from_arrays(flat, names=["phoneme_word", "text_word"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values, mask=pa.array([not v for v in valid], pa.bool_()))
+
+    return found(tokens, pairs)
+
+
+def least_inside(tokens: Column, pairs: Column) -> Column:
+    """For each span the smallest word of the phonemes in it, 0 where there is none."""
+
+    @F.arrow_udf("array<int>")
+    def found(lists: pa.Array, known: pa.Array) -> pa.Array:
+        out = []
+        for own, under in zip(rows_of(lists, "start", "end"), rows_of(known, "ph_idx", "word")):
+            if own is None or under is None:
+                out.append(None)
+                continue
+            span, word = inside(own, under)
+            least = np.full(len(own[0]), 1 << 31, np.int64)
+            np.minimum.at(least, span, word)
+            least[least == 1 << 31] = 0
+            out.append(least.tolist())
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return found(tokens, pairs)
+
+
+def local(heard: Column, known: Column, match: int = 2, mismatch: int = -1, gap: int = -1) -> Column:
+    """The best local alignment of two token arrays (Smith and Waterman): score, and where it lies in each, [start, end). The scores
+    are parameters (they aren't documented); of equal scores the first end counts, and diagonal steps before gaps. Score 0: an
+    empty alignment."""
+
+    @F.arrow_udf("struct<score: int, heard_start: int, heard_end: int, known_start: int, known_end: int>")
+    def found(a: pa.Array, b: pa.Array) -> pa.Array:
+        names = ("score", "heard_start", "heard_end", "known_start", "known_end")
+        out = [None if x is None or y is None else dict(zip(names, aligned(x, y, match, mismatch, gap))) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        return pa.array(out, pa.struct([(n, pa.int32()) for n in names]))
+
+    return found(heard, known)
+
+
+def aligned(a: list, b: list, match: int, mismatch: int, gap: int) -> tuple[int, int, int, int, int]:
+    """Row by row, each cell with the start that its best path has, so no table of steps is kept."""
+    best = (0, 0, 0, 0, 0)
+    above = [(0, 0, j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        row = [(0, i, 0)]
+        for j, y in enumerate(b, 1):
+            ways = [(above[j - 1][0] + (match if x == y else mismatch), *above[j - 1][1:]), (above[j][0] + gap, *above[j][1:]), (row[j - 1][0] + gap, *row[j - 1][1:])]
+            score = max(w[0] for w in ways)
+            row.append(next(w for w in ways if w[0] == score) if score > 0 else (0, i, j))
+            if score > best[0]:
+                best = (score, row[j][1], i, row[j][2], j)
+        above = row
+    return best
+
+
+def or_identity(pairs: Column, n: Column) -> Column:
+    """The (phoneme_word, text_word) pairs, or each of n words to itself where there are none."""
+    same = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("phoneme_word"), k.alias("text_word")))
+    return F.when(F.size(F.coalesce(pairs, F.array().cast(MAP))) > 0, pairs).when(n > 0, same)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import is_marker, normalize, strip
+from corpusloom.functions.text import MARKER, is_marker, normalize, strip
 
 
 def verse_texts(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,9 +32,10 @@ def preferred(first: Column, second: Column) -> Column:
 
 
 def plain_words(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, text, normalized_text) of words that are neither empty nor markers once stripped."""
-    rows = words.withColumn("text", strip(F.col("text")))
-    return rows.where((F.col("text") != "") & ~is_marker(F.col("text"))).select(*keys, "text", normalize(F.col("text")).alias("normalized_text"))
+    """(keys, text, normalized_text) of words that are neither empty nor markers once stripped. The generator keeps the
+    optimiser from copying the strip into the filter and into each output."""
+    stripped = F.transform(F.array(strip(F.col("text"))), lambda s: F.struct(s.alias("text"), normalize(s).alias("normalized_text")))
+    return words.select(*keys, F.inline(F.filter(stripped, lambda z: (z["text"] != "") & ~z["text"].rlike(MARKER))))
 
 
 def word_lines(lines: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
@@ -43,3 +44,15 @@ def word_lines(lines: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
     some = lines.where(F.col("first_word_id").isNotNull() & F.col("last_word_id").isNotNull() & (F.col("first_word_id") <= F.col("last_word_id")))
     ids = some.withColumn("word_id", F.explode(F.sequence("first_word_id", "last_word_id"))).drop("first_word_id", "last_word_id")
     return words.join(ids, [*by, "word_id"])
+
+
+def context(words: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
+    """(keys, word, context): for each position the words around it, in order, within its keys."""
+    around = Window.partitionBy(*keys).orderBy("word").rowsBetween(-before, after)
+    return words.select(*keys, "word", F.collect_list("text").over(around).alias("context"))
+
+
+def skipped(heard: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word, gap): positions that follow the one before them with `gap` positions left out. heard: keys, word."""
+    prev = F.lag("word").over(Window.partitionBy(*keys).orderBy("word"))
+    return heard.select(*keys, "word", (F.col("word") - prev - 1).alias("gap")).where("gap > 0")

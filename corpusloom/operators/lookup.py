@@ -58,8 +58,10 @@ class Corpus:
         return self.t["words"].join(first, "word_id").select("surah", "ayah")
 
     def page_for_position(self, surah: int, ayah: int) -> DataFrame:
-        lines = self.t["pages"].select("page_number", "first_word_id", "last_word_id")
-        return word_lines(lines, self._verse("words", surah, ayah), []).agg(F.min("page_number").alias("page_number"))
+        words = self._verse("words", surah, ayah).select("word_id")
+        least, most = words.select(F.min("word_id")).scalar(), words.select(F.max("word_id")).scalar()
+        near = self.t["pages"].where((F.col("first_word_id") <= most) & (F.col("last_word_id") >= least))  # only these lines become a row a word
+        return word_lines(near.select("page_number", "first_word_id", "last_word_id"), words, []).agg(F.min("page_number").alias("page_number"))
 
     def verses_count(self, surah: int) -> DataFrame:
         return self.t["surahs"].where(F.col("id") == surah).select("verses_count")

@@ -55,18 +55,17 @@ def spare_phonemes(spark: SparkSession) -> DataFrame:
 
 
 def marked(phonetized: DataFrame) -> DataFrame:
-    """(surah, ayah, idx, ph_start, ph_end, deleted, word): each character's phonemes and its word, 0 for a blank or beyond the text."""
-    each = F.posexplode(F.arrays_zip(T.chars(F.col("uthmani")).alias("ch"), F.col("mappings").alias("m")))
-    rows = phonetized.select(*KEYS, each.alias("idx", "z")).select(*KEYS, "idx", F.coalesce("z.ch", F.lit(" ")).alias("ch"), F.col("z.m").alias("m"))
-    rows = align.word_index(rows, KEYS).where(F.col("m").isNotNull())
-    return rows.select(*KEYS, "idx", F.col("m.start").alias("ph_start"), F.col("m.end").alias("ph_end"), F.col("m.deleted").cast("int").alias("deleted"), "word")
+    """phonetized, and for each verse `words`, the word of each of its characters, and `under`, the (ph_idx, word) pairs that its
+    mappings give. Mappings beyond the text have no word."""
+    rows = align.fixed(phonetized, "words", align.word_index(F.col("uthmani")))
+    part = lambda name: F.transform("mappings", lambda m: m[name].cast("int"))
+    return align.fixed(rows, "under", align.covered(part("start"), part("end"), part("deleted"), F.col("words")))
 
 
-def with_boundaries(phonetized: DataFrame, covered: DataFrame) -> DataFrame:
-    """(surah, ayah, phonemes) with a blank wherever the text's words change. covered: surah, ayah, ph_idx, word."""
-    least = covered.groupBy(*KEYS, "ph_idx").agg(F.min("word").alias("minw")).withColumnRenamed("ph_idx", "idx")
-    cs = align.characters(phonetized, KEYS, "raw").where("ch <> ' '").join(least, [*KEYS, "idx"], "left")
-    return align.reinserted(cs, KEYS).withColumnRenamed("text", "phonemes")
+def with_boundaries(marks: DataFrame) -> DataFrame:
+    """(surah, ayah, phonemes) with a blank wherever the text's words change; an empty text where there are none."""
+    least = align.least_words(F.col("under"), F.length("raw"))
+    return marks.select(*KEYS, align.reinserted(F.col("raw"), least).alias("phonemes"))
 
 
 def verse_phonemes(words: DataFrame, generated: DataFrame, spare: DataFrame) -> DataFrame:
@@ -88,37 +87,32 @@ def build(given: Inputs) -> dict[str, DataFrame]:
     """Table name to plan."""
     known = given.phonetized.join(given.words.select(*KEYS).distinct(), KEYS, "left_semi")
     marks = marked(known)
-    covered = align.covered(marks, KEYS)
-    phonemes = verse_phonemes(given.words, with_boundaries(known, covered), given.spare)
+    phonemes = verse_phonemes(given.words, with_boundaries(marks), given.spare)
 
     # places of the raw phonemes, and of their end, in the ones with boundaries
-    both = known.join(phonemes, KEYS).select(*KEYS, "raw", "phonemes")
-    raw = align.characters(both.withColumn("raw", F.concat("raw", F.lit(" "))), KEYS, "raw")
-    at = align.offsets(raw, align.characters(both, KEYS, "phonemes"), KEYS)
-    moved = F.transform(F.sort_array(F.collect_list(F.struct("idx", "pos"))), lambda x: x["pos"])
-    places = at.groupBy(*KEYS).agg(moved.alias("moved"))
-    spot = lambda c: F.get("moved", F.least(F.col(c), F.size("moved") - 1)).alias(c)
-    char_map = marks.join(places, KEYS).select(*KEYS, F.col("idx").alias("uthmani_idx"), spot("ph_start"), spot("ph_end"), "deleted", F.col("word").alias("uthmani_word"))
-
-    sound = raw.where("ch <> ' '").select(*KEYS, F.col("idx").alias("ph_idx"))
-    of_place = covered.join(sound, [*KEYS, "ph_idx"], "left_semi").join(at.withColumnRenamed("idx", "ph_idx"), [*KEYS, "ph_idx"])
-    of_place = of_place.select(*KEYS, F.col("pos").alias("ph_idx"), "word").distinct()
-
-    def parts(found: Column, gap: int, number: str, text: str, source: DataFrame) -> DataFrame:
-        rows = source.select(*KEYS, "phonemes", found.alias(text)).withColumn("x", align.spans(F.col("phonemes"), F.col(text), gap))
-        rows = rows.select(*KEYS, F.length("phonemes").alias("n"), F.posexplode(F.arrays_zip(text, "x")).alias(number, "z"))
-        return rows.select(*KEYS, "n", number, F.col(f"z.{text}").alias(text), F.col("z.x.start").alias("start"), F.col("z.x.end").alias("end"))
-
-    groups = parts(given.groups_of(F.col("phonemes")), 0, "group_idx", "group_text", both)
-    inside = groups.select(*KEYS, F.col("group_idx").alias("phoneme_word"), "start", F.least("end", "n").alias("end"))
-    least = align.word_map(inside, of_place, KEYS).groupBy(*KEYS, F.col("phoneme_word").alias("group_idx")).agg(F.min("text_word").alias("w"))
-    groups = groups.join(least, [*KEYS, "group_idx"], "left")
-    groups = groups.select(*KEYS, "group_idx", "group_text", F.col("start").alias("ph_start"), F.col("end").alias("ph_end"), F.coalesce("w", F.lit(0)).alias("uthmani_word"))
-
-    tokens = parts(T.tokens(F.col("phonemes")), 1, "k", "token", both)
-    tokens = tokens.select(*KEYS, (F.col("k") + 1).alias("phoneme_word"), "start", F.least("end", "n").alias("end"))
-    counts = phonemes.select(*KEYS, F.size(T.tokens(F.col("phonemes"))).alias("n"))
-    word_map = align.or_identity(align.word_map(tokens, of_place, KEYS), counts, KEYS)
+    both = align.fixed(marks.join(phonemes, KEYS), "moved", align.offsets(F.col("raw"), F.col("phonemes")))
+    spot = lambda c: F.get("moved", F.least(F.col(f"z.m.{c}"), F.size("moved") - 1)).alias(f"ph_{c}")
+    chars = both.select(*KEYS, "moved", F.posexplode(F.arrays_zip(F.col("mappings").alias("m"), F.col("words").alias("w"))).alias("uthmani_idx", "z")).where(F.col("z.m").isNotNull())
+    char_map = chars.select(*KEYS, "uthmani_idx", spot("start"), spot("end"), F.col("z.m.deleted").cast("int").alias("deleted"), F.coalesce("z.w", F.lit(0)).alias("uthmani_word"))
+
+    def sounding(z: Column) -> Column:
+        heard = F.filter(z["under"], lambda p: F.get(z["chars"], p["ph_idx"]) != " ")
+        return F.transform(heard, lambda p: F.struct(F.get(z["moved"], p["ph_idx"]).alias("ph_idx"), p["word"].alias("word")))
+
+    of_place = align.let(F.struct(T.chars(F.col("raw")).alias("chars"), "under", "moved"), sounding)
+    placed = align.fixed(both, "at", of_place).select(*KEYS, "phonemes", F.col("at").alias("under"))
+
+    def clipped(found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.least(x["end"], F.length("phonemes")).alias("end")))
+
+    groups = placed.withColumn("group_text", given.groups_of(F.col("phonemes"))).withColumn("span", align.spans(F.col("phonemes"), F.col("group_text"), 0))
+    groups = groups.withColumn("uthmani_word", align.least_inside(clipped(F.col("span")), F.col("under")))
+    each = lambda z, i: F.struct(i.alias("group_idx"), z["group_text"].alias("group_text"), z["span"]["start"].alias("ph_start"), z["span"]["end"].alias("ph_end"), z["uthmani_word"].alias("uthmani_word"))
+    groups = align.rows_from(groups.select(*KEYS, F.transform(F.arrays_zip("group_text", "span", "uthmani_word"), each).alias("z")), KEYS, "z")
+
+    pairs = placed.withColumn("span", align.spans(F.col("phonemes"), T.tokens(F.col("phonemes")), 1)).select(*KEYS, align.word_map(clipped(F.col("span")), F.col("under")).alias("pairs"))
+    counts = phonemes.select(*KEYS, F.size(T.tokens(F.col("phonemes"))).alias("n")).join(pairs, KEYS, "left")
+    word_map = align.rows_from(counts.select(*KEYS, align.or_identity(F.col("pairs"), F.col("n")).alias("z")), KEYS, "z")
 
     plain = corpus.plain_words(given.plain, [*KEYS, "word", "seq"])
     out = {
@@ -149,6 +143,21 @@ def keep_last_run(generated: DataFrame, before: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.coalesce("phonemes", "old").alias("phonemes")).where(F.col("phonemes").isNotNull())
 
 
+def counters(given: Inputs) -> DataFrame:
+    """One row: verses; those whose phonemes were generated, were spare, or are missing; plain words imported and skipped."""
+    known = marked(given.phonetized.join(given.words.select(*KEYS).distinct(), KEYS, "left_semi"))
+    made = with_boundaries(known).select(*KEYS, F.when(F.length("phonemes") > 0, True).alias("made"))
+    spare = given.spare.where(F.length("phonemes") > 0).select(*KEYS, F.lit(True).alias("spare"))
+    rows = given.words.select(*KEYS).distinct().join(made, KEYS, "left").join(spare, KEYS, "left")
+    one = rows.agg(
+        F.count("*").alias("verses"), F.count("made").alias("generated"), F.count_if(F.col("made").isNull() & F.col("spare").isNotNull()).alias("fallback"),
+        F.count_if(F.col("made").isNull() & F.col("spare").isNull()).alias("missing"),
+    )
+    stripped = T.strip(F.col("text"))
+    plain = given.plain.agg(F.count("*").alias("all"), F.count_if((stripped != "") & ~T.is_marker(F.col("text"))).alias("imported"))
+    return one.crossJoin(plain).select("verses", "generated", "fallback", "missing", "imported", (F.col("all") - F.col("imported")).alias("skipped"))  # single rows
+
+
 def statistics(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n) for each table, and verses with phonemes and pages counted once."""
     extra = {"ayahs": ("ayahs with phonemes", F.count("phonemes")), "pages": ("distinct pages", F.count_distinct("page_number"))}

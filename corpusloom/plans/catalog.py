@@ -5,7 +5,7 @@ Arabic ones where a rule needs them, conversations are recorded segments, and la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -62,7 +62,7 @@ def ordered_text_agg(spark, d):
 
 @query(f"with c as ({CHARS}) select doc_id, idx, case when ch = ' ' then 0 else 1 + sum((ch = ' ')::integer) over (partition by doc_id order by idx) end::integer as word from c")
 def char_word_index(spark, d):
-    return align.word_index(align.characters(read(spark, d, "documents"), ["doc_id"], "text"), ["doc_id"]).select("doc_id", "idx", "word")
+    return read(spark, d, "documents").select("doc_id", F.posexplode(align.word_index(F.col("text"))).alias("idx", "word"))
 
 
 SEGMENTS = "select conv_id, turn, role, (turn * 5)::bigint as w_start, (turn * 5 + 1 + length(text) % 20)::bigint as w_end, text, length(text) % 7 / 8.0::double as ratio from conversations"
@@ -177,9 +177,8 @@ def position_to_page(spark, d):
     select r.doc_id, r.idx::integer as idx, coalesce(place, after, 0)::integer as pos
     from rk r left join mk on mk.doc_id = r.doc_id and mk.k = r.k left join ends on ends.doc_id = r.doc_id""")
 def raw_to_merged(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("raw"))
-    docs = docs.withColumn("merged", F.replace("raw", F.lit("e "), F.lit(" e")))
-    return align.offsets(align.characters(docs, ["doc_id"], "raw"), align.characters(docs, ["doc_id"], "merged"), ["doc_id"])
+    moved = align.offsets(F.col("text"), F.replace("text", F.lit("e "), F.lit(" e")))
+    return read(spark, d, "documents").select("doc_id", F.posexplode(F.slice(moved, F.lit(1), F.length("text"))).alias("idx", "pos"))
 
 
 @query(f"""
@@ -188,29 +187,35 @@ def raw_to_merged(spark, d):
     p as (select *, lag(w, 1, 0) over (partition by doc_id order by idx) as prev from k)
     select doc_id, string_agg(case when w > prev and prev > 0 then ' ' || ch else ch end, '' order by idx) as text from p group by 1""")
 def boundary_reinsert(spark, d):
-    docs = read(spark, d, "documents")
-    cs = align.characters(docs, ["doc_id"], "text").where("ch <> ' '")
-    cs = cs.withColumn("minw", F.when(F.col("idx") % 3 == 0, 1 + F.call_function("div", F.col("idx"), F.lit(9)) % 7).cast("int"))
-    return align.reinserted(cs, ["doc_id"])
+    least = F.transform(places(F.length("text")), lambda i: F.when(i % 3 == 0, 1 + F.call_function("div", i, F.lit(9)) % 7).cast("int"))
+    docs = read(spark, d, "documents").where(F.replace("text", F.lit(" "), F.lit("")) != "")
+    return docs.select("doc_id", align.reinserted(F.col("text"), least).alias("text"))
+
+
+def places(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 MAPPED = f"select doc_id, idx, ch, idx as ph_start, least(idx + idx % 3, n)::integer as ph_end, (idx % 3 = 0)::integer as deleted, (idx // 10 + 1)::integer as word from ({CHARS})"
 
 
-def mapped(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").withColumn("n", F.length("text"))
-    i = F.col("idx")
-    return align.characters(docs, ["doc_id", "n"], "text").select("doc_id", i, i.alias("ph_start"), F.least(i + i % 3, F.col("n")).alias("ph_end"), (i % 3 == 0).cast("int").alias("deleted"), (F.call_function("div", i, F.lit(10)) + 1).cast("int").alias("word"))
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """docs, and `pairs` of (phoneme_word, text_word): a character makes the phonemes from its place to that of the next one or two, ten
+    characters are a word, and seven phonemes one of theirs."""
+    each = lambda f: F.transform("i", f)
+    rows = docs.select("*", F.length("text").alias("n"), places(F.length("text")).alias("i"))
+    under = align.covered(F.col("i"), each(lambda i: F.least(i + i % 3, F.col("n"))), each(lambda i: (i % 3 == 0).cast("int")), each(lambda i: (F.call_function("div", i, F.lit(10)) + 1).cast("int")))
+    tokens = F.transform(places(F.ceil(F.col("n") / 7).cast("int")), lambda k: F.struct((k * 7).alias("start"), (k * 7 + 7).alias("end")))
+    rows = align.fixed(rows, "under", under)
+    return rows.select(*docs.columns, align.word_map(tokens, F.col("under")).alias("pairs"))
 
 
 @query(f"""
     with m as ({MAPPED}), c as (select distinct doc_id, word, unnest(range(ph_start, ph_end)) as ph from m where deleted = 0 and ph_end > ph_start)
     select distinct doc_id, (ph // 7 + 1)::integer as phoneme_word, word as text_word from c""")
 def word_map_pairs(spark, d):
-    cov = align.covered(mapped(spark, d), ["doc_id"])
-    tok = cov.select("doc_id", (F.call_function("div", F.col("ph_idx"), F.lit(7)) + 1).cast("int").alias("phoneme_word")).distinct()
-    tok = tok.select("doc_id", "phoneme_word", ((F.col("phoneme_word") - 1) * 7).alias("start"), (F.col("phoneme_word") * 7).alias("end"))
-    return align.word_map(tok, cov, ["doc_id"])
+    return align.rows_from(word_pairs(read(spark, d, "documents")), ["doc_id"], "pairs")
 
 
 @query("""
@@ -218,9 +223,8 @@ def word_map_pairs(spark, d):
     u as (select doc_id, unnest(t) as tok, unnest(range(1, len(t) + 1))::integer as word from t)
     select doc_id, word, (sum(length(tok) + 1) over (partition by doc_id order by word) - length(tok) - 1)::integer as start, (sum(length(tok) + 1) over (partition by doc_id order by word) - 1)::integer as "end" from u""")
 def token_spans(spark, d):
-    text = F.regexp_replace("text", "\\s+", " ")
-    rows = read(spark, d, "documents").select("doc_id", text.alias("s")).select("doc_id", "s", F.split("s", " ").alias("t"))
-    return rows.select("doc_id", F.posexplode(align.spans(F.col("s"), F.col("t"), 1)).alias("word", "x")).select("doc_id", (F.col("word") + 1).alias("word"), "x.start", "x.end")
+    rows = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\\s+", " ").alias("s"))
+    return rows.select("doc_id", F.posexplode(align.token_spans(F.col("s"))).alias("word", "x")).select("doc_id", (F.col("word") + 1).alias("word"), "x.start", "x.end")
 
 
 @query(f"""
@@ -263,8 +267,8 @@ def table_stats(spark, d):
 
 @query("select event_id, (props::json ->> 'k')::integer as v from events where props::json ->> 'k' is not null")
 def keyed_json_scan(spark, d):
-    e = read(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string, int>")).alias("key", "v"))
-    return e.where("key = 'k' and v is not null").select("event_id", "v")
+    e = readers.json_map(read(spark, d, "events"), "props", "int", ["event_id"])
+    return e.where("key = 'k' and value is not null").select("event_id", F.col("value").alias("v"))
 
 
 @query(f"with w as ({WORDS}), l as ({LINES}) select doc_id, line::bigint as line, first_word_id, last_word_id from l where line // 15 = 1")
@@ -307,13 +311,14 @@ def plain_words(spark, d):
 @query(f"""
     with m as ({MAPPED}), c as (select distinct doc_id, word, unnest(range(ph_start, ph_end)) as ph from m where deleted = 0 and ph_end > ph_start and doc_id in (select doc_id from labels)),
     f as (select distinct doc_id, (ph // 7 + 1)::integer as phoneme_word, word as text_word from c),
-    n as (select doc_id, (doc_id % 5)::integer as n from documents)
+    n as (select doc_id, len(regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+'))::integer as n from documents)
     select * from f union all select doc_id, unnest(range(1, n + 1))::integer, unnest(range(1, n + 1))::integer from n where n > 0 and doc_id not in (select doc_id from f)""")
 def word_map_or_identity(spark, d):
-    cov = align.covered(mapped(spark, d).join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), ["doc_id"])
-    found = cov.select("doc_id", (F.call_function("div", F.col("ph_idx"), F.lit(7)) + 1).cast("int").alias("phoneme_word"), F.col("word").alias("text_word")).distinct()
-    counts = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("n"))
-    return align.or_identity(found, counts, ["doc_id"])
+    docs = read(spark, d, "documents")
+    known = read(spark, d, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    rows = docs.join(known, "doc_id", "left").select("doc_id", F.when(F.col("known"), F.col("text")).alias("text"), F.size(T.tokens(F.col("text"))).alias("words"))
+    rows = word_pairs(rows).select("doc_id", align.or_identity(F.col("pairs"), F.col("words")).alias("pairs"))
+    return align.rows_from(rows, ["doc_id"], "pairs")
 
 
 @query(f"""
@@ -323,8 +328,9 @@ def word_map_or_identity(spark, d):
       (sum(length(tok) + 1) over (partition by doc_id order by group_idx) - 1)::integer as ph_end from u""")
 def group_spans(spark, d):
     rows = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("g")).where(F.size("g") > 0)
-    rows = rows.select("doc_id", "g", F.array_join("g", " ").alias("s")).select("doc_id", "g", align.spans(F.col("s"), F.col("g"), 1).alias("x"))
-    return rows.select("doc_id", F.posexplode(F.arrays_zip("g", "x")).alias("group_idx", "z")).select("doc_id", "group_idx", F.col("z.g").alias("group_text"), F.col("z.x.start").alias("ph_start"), F.col("z.x.end").alias("ph_end"))
+    rows = rows.select("doc_id", "g", align.spans(F.array_join("g", " "), F.col("g"), 1).alias("x"))
+    each = F.transform(F.arrays_zip("g", "x"), lambda z, i: F.struct(i.alias("group_idx"), z["g"].alias("group_text"), z["x"]["start"].alias("ph_start"), z["x"]["end"].alias("ph_end")))
+    return align.rows_from(rows.select("doc_id", each.alias("z")), ["doc_id"], "z")
 
 
 @query(f"select doc_id, regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1] as first_word, length(regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1]) <= 6 and regexp_full_match(translate(regexp_extract_all(text, '[^\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+')[1], 'ThereoandOfit', 'المصركهيعطسحق'), '{T.OPENING_LETTERS}') as opening from documents")

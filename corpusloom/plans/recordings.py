@@ -56,3 +56,15 @@ def summary(rows: DataFrame) -> DataFrame:
     for name, df in (("n_segments", kept), ("n_verses", stitched), ("n_unique", agreed(stitched))):
         one = one.crossJoin(df.agg(F.count("*").alias(name)))  # single rows
     return one.select("total", (F.col("total") - F.col("n_segments")).alias("skipped"), "n_segments", "n_verses", "n_unique")
+
+
+def variants(wanted: DataFrame, there: DataFrame, only: str | None = None) -> DataFrame:
+    """(variant) of those wanted that are there; only: the one of that name, whatever the case."""
+    some = wanted if only is None else wanted.where(F.upper("variant") == only.upper())
+    return some.join(there.select("variant").distinct(), "variant", "left_semi")
+
+
+def against_baseline(sizes: DataFrame) -> DataFrame:
+    """(seq, variant, size, percent): how much smaller each variant is than the first one by seq, in percent."""
+    base = sizes.agg(F.min_by("size", "seq")).scalar()
+    return sizes.select("seq", "variant", "size", ((1 - F.col("size") / base) * 100).alias("percent"))

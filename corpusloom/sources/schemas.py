@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TABLES = {
@@ -22,6 +22,35 @@ KEYS = {
 }
 
 
+#: What a missing value becomes.
+DEFAULTS = {"surahs": {"bismillah_pre": 1}, "pages": {"is_centered": 0}, "phoneme_groups": {"uthmani_word": 0}, "phoneme_char_map": {"deleted": 0, "uthmani_word": 0}}
+
+
+def columns_of(name: str) -> list[tuple[str, str, bool]]:
+    """(column, type, whether it must have a value) of a table."""
+    return [(x.split()[0], x.split()[1], x.endswith("not null")) for x in TABLES[name].split(", ")]
+
+
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """The table's columns in order, cast to their types (a value that doesn't fit raises), defaults for missing values."""
+    given, defaults = set(df.columns), DEFAULTS.get(name, {})
+
+    def one(column: str, kind: str) -> Column:
+        value = F.col(column) if column in given else F.lit(None)
+        return F.coalesce(value.cast(kind), F.lit(defaults[column]).cast(kind)) if column in defaults else value.cast(kind)
+
+    return df.select(*[one(c, kind).alias(c) for c, kind, _ in columns_of(name)])
+
+
+def violations(df: DataFrame, name: str) -> DataFrame:
+    """(rule, n): for each column that must have a value how many rows have none, and how many keys repeat; only what is broken."""
+    needed = [c for c, _, must in columns_of(name) if must]
+    cells = [F.struct(F.concat(F.lit("not null "), F.lit(c)).alias("rule"), F.count_if(F.col(c).isNull()).alias("n")) for c in needed]
+    repeated = duplicates(df, KEYS[name]).agg(F.lit("primary key").alias("rule"), F.count("*").alias("n"))
+    missing = df.agg(F.array(*cells).alias("x")).select(F.inline("x")) if cells else repeated.limit(0)
+    return missing.unionByName(repeated).where("n > 0")
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that several rows have, with their number."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import align, corpus, stitch
 from corpusloom.operators.lookup import Corpus
-from corpusloom.sources import readers, sinks
+from corpusloom.sources import readers, schemas, sinks, sqlite
 from corpusloom.sources.schemas import KEYS, TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -71,11 +72,11 @@ def test_offsets_matches_a_sequential_model(spark):
         end = at[solid[-1]] + 1 if solid else 0
         want[g] = [at[min(j for j in solid if j >= i)] if any(j >= i for j in solid) else end for i in range(len(raw))]
     df = spark.createDataFrame(rows, "g int, raw string, merged string")
-    out = align.offsets(align.characters(df, ["g"], "raw"), align.characters(df, ["g"], "merged"), ["g"]).orderBy("g", "idx").collect()
-    got = {}
-    for r in out:
-        got.setdefault(r["g"], []).append(r["pos"])
-    assert got == want
+    got = {r["g"]: r["pos"] for r in df.select("g", align.offsets(F.col("raw"), F.col("merged")).alias("pos")).collect()}
+    assert {g: pos[:-1] for g, pos in got.items()} == want
+    for g, raw, _ in rows:  # the end lies after the last character that isn't a blank
+        solid = [i for i, c in enumerate(raw) if c != " "]
+        assert len(got[g]) == len(raw) + 1 and got[g][-1] == (want[g][solid[-1]] + 1 if solid else 0)
 
 
 def test_spans_with_a_missing_part(spark):
@@ -87,9 +88,9 @@ def test_spans_with_a_missing_part(spark):
 def test_prefix_merge_and_identity(spark):
     df = spark.createDataFrame([(["x"],), (["Ta", "Tb", "c", "d"],), (["Ta", "b"],), (["Ta", "Tb"],), (["a", "Tb"],)], "t array<string>")
     assert [r["x"] for r in df.select(T.merge_leading(F.col("t"), ["T"]).alias("x")).collect()] == ["x", "TaTb c d", "Ta b", "TaTb", "a Tb"]
-    found = spark.createDataFrame([(1, 1, 2)], "k int, phoneme_word int, text_word int")
-    counts = spark.createDataFrame([(1, 3), (2, 2), (3, 0)], "k int, n int")
-    assert sorted(map(tuple, align.or_identity(found, counts, ["k"]).collect())) == [(1, 1, 2), (2, 1, 1), (2, 2, 2)]
+    rows = spark.createDataFrame([(1, 3, [(1, 2)]), (2, 2, None), (3, 0, []), (4, 1, [])], f"k int, n int, pairs {align.MAP}")
+    got = align.rows_from(rows.select("k", align.or_identity(F.col("pairs"), F.col("n")).alias("z")), ["k"], "z").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2), (2, 1, 1), (2, 2, 2), (4, 1, 1)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -139,15 +140,20 @@ def test_registered_queries_match_their_sql(spark):
     import __spark_entry__ as entry
     from corpusloom.plans import catalog
 
+    assert len(catalog.ORACLE_SQL) > 80
+
     con = duckdb.connect()
-    for name in ["customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]:
+    for name in ["region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]:
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
 
     def rows(found):
         names = sorted(found.columns)
-        return sorted(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in found[names].itertuples(index=False, name=None))
+        return sorted((tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in found[names].itertuples(index=False, name=None)), key=str)
 
     for name in catalog.QUERIES:
+        if name not in catalog.ORACLE_SQL:
+            assert entry.queries()[name](spark, SF).count() > 0, name
+            continue
         got, want = entry.queries()[name](spark, SF).toPandas(), con.sql(catalog.ORACLE_SQL[name]).df()
         if len(got) < 20000:
             assert str(rows(got)) == str(rows(want)), name
@@ -157,3 +163,77 @@ def test_registered_queries_match_their_sql(spark):
         names = ", ".join(f'"{c}"' for c in sorted(got.columns))
         both = [con.execute(f"select count(*) from (select {names} from {x} except all select {names} from {y})").fetchall()[0][0] for x, y in (("got", "want"), ("want", "got"))]
         assert both == [0, 0], name
+
+
+def test_palettes_and_local_alignment(spark):
+    rng = random.Random(8)
+    rows = [(i, [float(rng.choice([-2, -1, 0.5, 3]) + rng.random() * 0.01) for _ in range(40)]) for i in range(5)] + [(9, [1.0, 2.0]), (10, None)]
+    df = spark.createDataFrame(rows, "i int, a array<float>")
+    got = {r["i"]: r["p"] for r in df.select("i", V.palettized(F.col("a"), 2).alias("p")).collect()}
+    for i, a in rows[:5]:
+        assert len(set(got[i])) <= 4 and max(abs(x - y) for x, y in zip(a, got[i])) < 0.02
+    assert got[9] == [1.0, 2.0] and got[10] is None
+
+    def brute(a, b):
+        """The best global score of any two stretches."""
+        best = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h = {(0, 0): 0}
+                for x in range(len(a) - i + 1):
+                    for y in range(len(b) - j + 1):
+                        ways = [h[x, y - 1] - 1] if y else []
+                        ways += [h[x - 1, y] - 1] if x else []
+                        ways += [h[x - 1, y - 1] + (2 if a[i + x - 1] == b[j + y - 1] else -1)] if x and y else []
+                        if ways:
+                            h[x, y] = max(ways)
+                best = max(best, max(h.values()))
+        return best
+
+    pairs = [([rng.choice("abc") for _ in range(rng.randint(0, 7))], [rng.choice("abc") for _ in range(rng.randint(0, 7))]) for _ in range(30)]
+    out = spark.createDataFrame(pairs, "a array<string>, b array<string>").coalesce(1).select("a", "b", align.local(F.col("a"), F.col("b")).alias("z")).select("a", "b", "z.*").collect()
+    for r in out:
+        assert r["score"] == brute(r["a"], r["b"])
+        x, y = r["a"][r["heard_start"] : r["heard_end"]], r["b"][r["known_start"] : r["known_end"]]
+        assert brute(x, y) == r["score"] and (r["score"] == 0) == (not x and not y)
+
+
+def test_sqlite_and_enforced_schemas(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "x.db") as con:
+        con.execute('create table "odd name" (id integer primary key, "text x" text, r real)')
+        con.executemany('insert into "odd name" values (?, ?, ?)', [(i * 3, None if i == 2 else f"t{i}", i / 2) for i in range(20)])
+        con.execute("create table empty (id integer)")
+    con.close()
+    got = sqlite.read_sqlite(spark, str(tmp_path / "x.db"), "odd name", ["text x", "id"])
+    assert got.dtypes == [("text x", "string"), ("id", "bigint")]
+    assert sorted((r["id"], r["text x"]) for r in got.collect()) == [(i * 3, None if i == 2 else f"t{i}") for i in range(20)]
+    assert sqlite.read_sqlite(spark, str(tmp_path / "x.db"), "empty").count() == 0
+    rows = spark.createDataFrame([(1, 1, 1, "a", None), (1, 1, 1, "b", "n"), (1, 2, 1, None, "n")], "surah long, ayah int, word int, text string, normalized_text string")
+    found = {r["rule"]: r["n"] for r in schemas.violations(schemas.conformed(rows, "imlai_words"), "imlai_words").collect()}
+    assert found == {"not null text": 1, "not null normalized_text": 1, "primary key": 1}
+    with pytest.raises(ValueError, match="not null text"):
+        sinks.write_table(rows, str(tmp_path / "t"), "imlai_words")
+    assert not (tmp_path / "t").exists()
+    sinks.write_table(spark.createDataFrame([(1, 1, "ayah")], "page_number int, line_number int, line_type string"), str(tmp_path / "t"), "pages")
+    assert tuple(spark.read.parquet(str(tmp_path / "t" / "pages")).first()) == (1, 1, "ayah", 0, None, None, None)
+
+
+def test_folders_and_json_lines(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "é\"x"), ("a", None), ("c", "z")], "k string, v string")
+    rows.write.parquet(str(tmp_path / "moshaf_2" / "train"))
+    rows.write.parquet(str(tmp_path / "moshaf_1"))
+    rows.write.parquet(str(tmp_path / "other"))
+    rows.write.parquet(str(tmp_path / "moshaf_3" / "metadata"))
+    assert [r[0] for r in readers.configs(spark, str(tmp_path)).collect()] == ["moshaf_1", "moshaf_2"]
+    one = readers.directory_size(spark, str(tmp_path), 1 << 20).first()
+    assert one["bytes"] == sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith((".", "_"))) and one["size"] == one["bytes"] / (1 << 20)
+    lines = [r["value"] for r in sinks.json_map_lines(rows, "k", "v").collect()]
+    assert json.loads("\n".join(lines)) == {"a": None, "b": 'é"x', "c": "z"} and lines[1] == '  "a": null,'
+    lines = [r["value"] for r in sinks.json_array_lines(rows, ["v", "k"], ["k"]).collect()]
+    assert json.loads("\n".join(lines)) == [[None, "a"], ['é"x', "b"], ["z", "c"]]
+    tensors = readers.seeded_tensor(spark, 5, 3)
+    assert tensors.collect() == readers.seeded_tensor(spark, 5, 3).collect() and len(tensors.first()["features"]) == 3
+    with pytest.raises(Exception, match="differ in length"):
+        spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>").select(V.same_size(F.col("a"), F.col("b"))).collect()
