@@ -20,7 +20,7 @@ LATIN, ARABIC = "abcdefgh0123456789", "آأإةىَٰۖ٠١٢٣٤٥٦٧٨٩"
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def query(sql: str):

@@ -11,6 +11,18 @@ WORD = "struct<id: int, text: string>"
 CHAPTER = "struct<id: int, name: string, name_simple: string, name_arabic: string, revelation_place: string, verses_count: int, bismillah_pre: boolean>"
 
 
+#: Bytes of a table that is dealt anew if it has fewer files than there are cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt over all cores if it lies in fewer files than that: a file of one row group is read by one task, and
+    so would be all that follows without a shuffle. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def json_map(docs: DataFrame, column: str, value: str, keep: list[str] | None = None) -> DataFrame:
     """(key, value) for each entry of one JSON object a row, beside the columns to keep."""
     return docs.select(*(keep or []), F.explode(F.from_json(column, f"map<string, {value}>")).alias("key", "value"))
