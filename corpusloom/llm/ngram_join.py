@@ -9,7 +9,8 @@ all of them are verified on the whole sets.
 2. The first order takes the region's tokens by rising frequency, then the others. A document whose prefix has
    only tokens of its own has no partner. The others keep their sets.
 3. Documents with one set are one node. Nodes that share a prefix token join the group of that token's smallest
-   node; large groups are cut into chunks, and chunks meet pair by pair, so no task holds a large group.
+   node; large groups are parted by classes of size, of which only equal and neighbouring ones can hold similar sets, and
+   these are cut into chunks, which meet pair by pair, so no task holds a large group.
 4. In a unit, pairs that share prefix tokens under every order are verified exactly, unless links found before
    connect them already. Links become components.
 
@@ -22,14 +23,15 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import block_count, block_of, cut, mix64
+from corpusloom.llm.common import block_count, block_of, cut, fresh, mix64, named
 from corpusloom.llm.graph import components
 from corpusloom.llm.shingles import Powers, shingle_sets
 
@@ -47,6 +49,14 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def size_class(n: int, percent: int) -> int:
+    """Sets that are similar by at least percent / 100 lie in one class or in neighbouring ones: the smaller has that share of the
+    larger's tokens at least."""
+    if percent <= 0:
+        return 0
+    return n if percent >= 100 else int(math.log(n) / (math.log(100 / percent) * 1.0001))
+
+
 def docs_of(table: pa.Table, width: int, powers: Powers) -> Iterator[tuple[int | None, np.ndarray]]:
     for b in table.to_batches(max_chunksize=512):
         yield from zip(b["doc_id"].to_pylist(), shingle_sets(b["text"].to_pylist(), width, powers))
@@ -85,7 +95,8 @@ def shared(key: tuple, table: pa.Table) -> pa.Table:
     for b, t in zip(blocks.tolist(), tokens):
         k = kind[at[first : first + len(t)]]
         first += len(t)
-        out.append((b, t[k > 0].tobytes(), k[k > 0].tobytes()))
+        if (k > 0).any():
+            out.append((b, t[k > 0].tobytes(), k[k > 0].tobytes()))
     return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "tokens": pa.array([o[1] for o in out], pa.binary()), "kinds": pa.array([o[2] for o in out], pa.binary())})
 
 
@@ -132,19 +143,20 @@ def prefix_tokens(tokens: np.ndarray, kinds: np.ndarray, order: int, percent: in
 
 
 def postings(percent: int):
-    """Step 3: (token, node) of the first order's prefixes, without tokens that only one document holds."""
+    """Step 3: (token, node, class of size) of the first order's prefixes, without tokens that only one document holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            token, node = [], []
+            token, node, size = [], [], []
             for i, t, k in zip(*(b.column(c).to_pylist() for c in ("node", "tokens", "kinds"))):
                 t, k = np.frombuffer(t, "<u8"), np.frombuffer(k, "u1")
                 p = prefix_tokens(t, k, 0, percent)
                 p = p[k[np.searchsorted(t, p)] > 0]
                 token.append(p)
                 node.append(np.full(len(p), i))
+                size.append(np.full(len(p), size_class(len(t), percent), np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node), pa.int64())], names=["token", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node), pa.int64()), pa.array(np.concatenate(size), pa.int32())], names=["token", "node", "size"])
 
     return run
 
@@ -263,17 +275,27 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     found = cut(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(suspected(region, width, percent), ROW))
 
     holders = found.where(F.col("tokens").isNotNull())
-    post = cut(holders.select("node", "tokens", "kinds").mapInArrow(postings(percent), "token long, node long").distinct())
+    post = cut(holders.select("node", "tokens", "kinds").mapInArrow(postings(percent), "token long, node long, size int").distinct())
     leads = cut(post.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("token", "lead"))
-    members = cut(post.join(leads, "token").select("lead", "node").distinct())
-    sizes = cut(members.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    members = cut(post.join(leads, "token").select("lead", "node", "size").distinct())
+    counted_by = members.groupBy("lead", "size").agg(F.count("*").alias("n"))
+    sizes = cut(counted_by.groupBy("lead").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("size", F.ceil(F.col("n") / CHUNK).cast("int")))).alias("chunks")))  # classes: some 10 a power of ten
     units = max(1, -(-members.count() // CHUNK))
-    placed = members.join(sizes, "lead").withColumn("i", F.pmod(F.xxhash64("node", "lead"), F.col("chunks")).cast("int"))
-    few = placed.where("chunks = 1").select("lead", "node", F.lit(0).alias("side"), block_of(units, "lead").cast("long").alias("unit"))
-    many = placed.where("chunks > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = members.join(sizes, "lead")
+    few = placed.where(F.col("n") <= CHUNK).select("lead", "node", F.lit(0).alias("side"), block_of(units, "lead").cast("long").alias("unit"))
+    chunks = lambda k: F.coalesce(F.try_element_at("chunks", F.col("size") + k), F.lit(0))
+    many = placed.where(F.col("n") > CHUNK).withColumn("i", F.pmod(F.xxhash64("node", "lead"), chunks(0)).cast("int"))
+
+    def chunks_of(k: int) -> Column:
+        """The chunks of the class k beside a node's own."""
+        numbers = F.when(chunks(k) > 0, F.sequence(F.lit(0), chunks(k) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda j: F.struct((F.col("size") + k).alias("size"), j.alias("i")))
+
+    each = [chunks_of(k) for k in (-1, 0, 1)]  # its own class and the two beside it
+    many = many.withColumn("own", F.struct("size", "i")).withColumn("other", F.explode(F.concat(*each)))
     many = many.select(
-        "lead", "node", F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"),
-        F.xxhash64("lead", F.least("i", "j"), F.greatest("i", "j")).alias("unit"),
+        "lead", "node", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+        F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
     )
     # of blocks that hold the same set, one gives the tokens
     given = holders.select("node", "doc_id", "tokens", "kinds").withColumn("giver", block_of(1 << 30, "doc_id"))
@@ -293,10 +315,18 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
 
 
 def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, less those whose component has a smaller doc_id. Rows without an id stay;
-    of equal rows with one id, one stays."""
+    """The rows of docs, with all columns, less those whose component has a smaller doc_id. Rows without an id stay, whatever they
+    hold; of equal rows with one id, one stays; an empty table stays empty."""
     found = join(docs, width, percent, key, text)
     gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct())
-    kept = docs.join(gone, key, "left_anti")
-    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    return kept if again.isEmpty() else kept.dropDuplicates()
+    kept = docs.join(gone, key, "left_anti").select(*named(docs))
+    again = cut(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return kept
+    rest = kept.join(again, key, "left_anti").select(*named(docs))
+    mark = fresh(docs, "equal_rows")
+    # rows are told apart by two hashes of all they hold, as JSON, since maps can't be compared
+    whole = F.to_json(F.struct(*named(docs)), {"ignoreNullFields": "false"})
+    several = kept.join(again, key, "left_semi").select(F.struct(*named(docs)).alias(mark), F.sha2(whole, 256).alias("row_digest"))
+    single = several.groupBy("row_digest").agg(F.any_value(mark).alias(mark))
+    return rest.unionByName(single.select(f"{mark}.*"))
