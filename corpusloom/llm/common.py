@@ -12,9 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text that one block of documents should hold. Blocks bound what a task keeps in memory;
-#: their number follows the input.
+#: Text that one block of documents holds at least. Blocks bound what a task keeps in memory; their number follows the input.
 BLOCK_BYTES = 8 << 20
+#: Blocks from which on they grow with the input instead of in number, as far as memory allows: each block sends something to most
+#: of as many buckets, so many small blocks would send many tiny messages.
+MANY_BLOCKS = 4096
+#: Bytes of a task's memory that a byte of its block may take.
+TIMES_BLOCK = 24
 #: Fewest blocks, so that a small input still uses every core and no block stands out.
 LEAST_BLOCKS = 64
 #: What separates words, in every operator of this subpackage that speaks of words.
@@ -57,10 +61,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def task_memory(spark: SparkSession) -> int:
+    """Bytes of an executor's memory for each of its cores, by the session's settings."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local[")
+    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    memory = int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "4"))
+    return memory // max(1, cores)
+
+
+def block_bytes(total: int, memory: int) -> int:
+    """Text a block: BLOCK_BYTES, and more for an input of over MANY_BLOCKS of them, up to what a task's memory holds."""
+    return max(BLOCK_BYTES, min(-(-total // MANY_BLOCKS), memory // TIMES_BLOCK))
+
+
 def block_count(docs: DataFrame, text: str = "text") -> int:
-    """Blocks that hold about BLOCK_BYTES of text each."""
+    """Blocks of documents for an input of this size."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    return max(LEAST_BLOCKS, -(-total // block_bytes(total, task_memory(docs.sparkSession))))
 
 
 def block_of(n: int, *cols: str) -> Column:

@@ -199,6 +199,8 @@ def held_by_several(key: tuple, table: pa.Table) -> pa.Table:
         k = kind[at[first : first + len(t)]]
         first += len(t)
         other = [(h, l, least[h, l]) for h, l, d in own if least[h, l] < d]
+        if not other and not (k > 0).any():
+            continue
         rows.append((block, t[k > 0].tobytes(), k[k > 0].tobytes(), *(np.array([o[i] for o in other], x).tobytes() for i, x in enumerate(("<u8", "<u8", "<i8")))))
     return table_of(REPLY, rows)
 
