@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     at = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     spark.conf.set("spark.checkpoint.dir", at)

@@ -4,8 +4,8 @@ Each document's histogram of character classes (capitals, digits, blanks, symbol
 its language by Jensen-Shannon distance (base 2, so 0 to 1). A language's reference is the mean of its
 documents' histograms over the whole corpus. Base rules on length and repetition come first.
 
-Defined cases: a null text is an empty one; empty and very short texts fail the base rules; a null or rare
-language is compared with the reference of all documents; where a reference has next to no common words, their absence
+Defined cases: a null text is an empty one; empty and very short texts fail the base rules; a null language, or one that isn't
+among the LANGUAGES with the most documents, is compared with the reference of all documents of such a histogram; where a reference has next to no common words, their absence
 says nothing and only MAX_WORD_DISTANCE holds; texts under the minimum lengths skip the
 comparison that would be noise; repeated rows give repeated results; other columns are ignored.
 """
@@ -13,9 +13,8 @@ comparison that would be noise; repeated rows give repeated results; other colum
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACES, cut
@@ -30,8 +29,8 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con"],
 }
 ALL_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
-#: Languages with a smaller share of the rows have no reference of their own, so there are 1000 at most.
-LEAST_SHARE = 0.001
+#: Languages that have a reference of their own: those with the most documents.
+LANGUAGES = 1000
 MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.34
@@ -125,41 +124,28 @@ def shares(counts: Column) -> Column:
     return F.transform(F.array(total), lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))[0]
 
 
-def references(features: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """By language the mean histograms; '' for all rows. Bounded: languages have at least LEAST_SHARE of the rows."""
-    found = {}
-    for kind, width in (("chars", None), ("common", None)):
-        parts = features.where(F.col("n_words") > 0).select(F.col("lang"), F.posexplode(shares(F.col(kind))).alias("k", "x"), F.size(kind).alias("width"))
-        by = parts.groupBy("lang", "width", "k").agg(F.sum("x").alias("x"), F.count("x").alias("n"))
-        total = features.count()
-        for r in by.where(F.col("n") >= F.lit(LEAST_SHARE * total)).collect():
-            found.setdefault((kind, r["lang"], r["width"]), {})[r["k"]] = (r["x"], r["n"])
-    out: dict = {"chars": {}, "common": {}}
-    for (kind, lang, width), by in found.items():
-        if len(by) == width:
-            out[kind][lang, width] = [by[k][0] / by[k][1] for k in range(width)]
-            total = out[kind].setdefault(("", width), [0.0] * width)
-            for k in range(width):
-                total[k] += by[k][0]
-    for kind in out:
-        for (lang, width), v in list(out[kind].items()):
-            if lang == "":
-                s = sum(v)
-                out[kind][lang, width] = [x / s for x in v]
+def references(features: DataFrame) -> dict[str, dict[tuple[str, int], list[float]]]:
+    """By kind of histogram and (language, width) the mean histogram; '' for all languages of that width. Bounded: LANGUAGES languages."""
+    some = features.where(F.col("n_words") > 0)
+    named_ones = some.where(F.col("lang").isNotNull())
+    known = [r["lang"] for r in named_ones.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    label = F.when(F.col("lang").isin(*known), F.col("lang")) if known else F.lit(None).cast("string")
+    out: dict = {}
+    for kind in ("chars", "common"):
+        parts = some.select(label.alias("lang"), F.posexplode(shares(F.col(kind))).alias("k", "x"), F.size(kind).alias("width"))
+        found: dict = {}
+        for r in parts.groupBy("lang", "width", "k").agg(F.sum("x").alias("x"), F.count("x").alias("n")).collect():  # LANGUAGES histograms
+            for name in {r["lang"], ""} - {None}:
+                x, n = found.setdefault((name, r["width"]), {}).get(r["k"], (0.0, 0))
+                found[name, r["width"]][r["k"]] = (x + r["x"], n + r["n"])
+        out[kind] = {at: [by[k][0] / by[k][1] for k in range(at[1])] for at, by in found.items() if len(by) == at[1]}
     return out
 
 
-def by_reference(counts: Column, lang: Column, refs: dict, make: Callable[[list[float]], Column]) -> Column | None:
-    """What make gives for the language's reference, else for that of all rows of the same width."""
-    out = None
-    for (name, width), q in sorted(refs.items(), key=lambda x: (x[0][0] is None or x[0][0] == "", str(x[0]))):
-        if name is None:
-            continue
-        test = F.size(counts) == width
-        if name:
-            test &= lang == F.lit(name)
-        out = F.when(test, make(q)) if out is None else out.when(test, make(q))
-    return out
+def reference_table(spark: SparkSession, refs: dict) -> DataFrame:
+    """(ref_lang, ref_kind, ref_width, ref, ref_limit): the references as a table of a few numbers a language."""
+    rows = [(name, kind, width, q, word_limit(q) if kind == "common" else MAX_CHAR_DISTANCE) for kind, own in refs.items() for (name, width), q in sorted(own.items())]
+    return spark.createDataFrame(rows, "ref_lang string, ref_kind string, ref_width int, ref array<double>, ref_limit double")
 
 
 def word_limit(reference: list[float]) -> float:
@@ -172,35 +158,38 @@ def word_limit(reference: list[float]) -> float:
     return min(MAX_WORD_DISTANCE, WITHOUT_WORDS * math.sqrt(max(half / 2, 0.0)))
 
 
-def distance(counts: Column, lang: Column, refs: dict) -> Column:
-    """Jensen-Shannon distance to the language's reference, else to that of all rows of the same width; 0 without one."""
-
-    def js(q: list[float]) -> Column:
-        ref = F.array(*[F.lit(float(x)) for x in q])
-
-        def half(a: Column, b: Column) -> Column:
-            return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+def distance(counts: Column, ref: Column) -> Column:
+    """Jensen-Shannon distance of a histogram to a reference; 0 without one."""
 
-        p = shares(counts)
-        terms = F.zip_with(p, ref, lambda a, b: (half(a, b) + half(b, a)) / 2)
-        return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    def half(a: Column, b: Column) -> Column:
+        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
-    out = by_reference(counts, lang, refs, js)
-    return F.lit(0.0) if out is None else F.coalesce(out, F.lit(0.0))
+    terms = F.zip_with(shares(counts), ref, lambda a, b: (half(a, b) + half(b, a)) / 2)
+    return F.coalesce(F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))), F.lit(0.0))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance)."""
-    features = cut(base_features(docs, key, text, lang))
-    refs = references(features)
+    rows = cut(base_features(docs, key, text, lang))
+    table = reference_table(docs.sparkSession, references(rows))
+    for kind in ("chars", "common"):
+        own = table.where((F.col("ref_kind") == kind) & (F.col("ref_lang") != "")).select("ref_lang", F.col("ref_width").alias(f"{kind}_width"), F.col("ref").alias(f"{kind}_own"), F.col("ref_limit").alias(f"{kind}_own_limit"))
+        rest = table.where((F.col("ref_kind") == kind) & (F.col("ref_lang") == "")).select(F.col("ref_width").alias(f"{kind}_width"), F.col("ref").alias(f"{kind}_any"), F.col("ref_limit").alias(f"{kind}_any_limit"))
+        rows = with_reference(rows, own, rest, kind)
     total = F.aggregate("chars", F.lit(0.0), lambda s, x: s + x)
-    limit = by_reference(F.col("common"), F.col("lang"), refs["common"], lambda q: F.lit(word_limit(q)))
-    rows = features.select(
+    rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        F.when(total >= MIN_CHARS, distance(F.col("chars"), F.col("lang"), refs["chars"])).alias("char_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("common"), F.col("lang"), refs["common"])).alias("word_distance"),
-        (F.lit(None).cast("double") if limit is None else limit).alias("word_limit"),
+        F.when(total >= MIN_CHARS, distance(F.col("chars"), F.col("chars_ref"))).alias("char_distance"),
+        F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("common"), F.col("common_ref"))).alias("word_distance"),
+        F.coalesce("common_limit", F.lit(MAX_WORD_DISTANCE)).alias("word_limit"),
     )
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("word_limit", F.lit(MAX_WORD_DISTANCE)))
+    fits = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= F.col("word_limit"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "char_distance", "word_distance")
+
+
+def with_reference(rows: DataFrame, own: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
+    """Adds <kind>_ref and <kind>_limit: of the language, else of all documents with a histogram of that width."""
+    rows = rows.withColumn(f"{kind}_width", F.size(kind))
+    rows = rows.join(F.broadcast(own.withColumnRenamed("ref_lang", "lang")), ["lang", f"{kind}_width"], "left").join(F.broadcast(rest), f"{kind}_width", "left")
+    return rows.withColumns({f"{kind}_ref": F.coalesce(f"{kind}_own", f"{kind}_any"), f"{kind}_limit": F.coalesce(f"{kind}_own_limit", f"{kind}_any_limit")})

@@ -79,7 +79,8 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES = {
@@ -94,7 +95,37 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
+_COMMON = " ".join(f"when lang = '{name}' then {words!r}" for name, words in quality_rules.COMMON_WORDS.items())
+_ALL = repr(quality_rules.ALL_WORDS)
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": f"""
+        with d as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        f as (select doc_id, lang, t, w, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, length(t) as n_all, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as upper,
+                     length(regexp_replace(t, '[^0-9]+', '', 'g')) as digits, length(regexp_replace(t, '[^!-/:-@\\[-`{{-~]+', '', 'g')) as marks from d),
+        g as (select doc_id, p, w[p + 1:p + 5] as x from (select doc_id, w, unnest(range(0, len(w) - 4)) as p from f where len(w) >= 5)),
+        r as (select doc_id, count(distinct p + k)::bigint as n_repeat_words from (select doc_id, p, count(*) over (partition by doc_id, x) as c from g), range(0, 5) t(k) where c > 1 group by 1),
+        h as (select doc_id, lang, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_all,
+                     [upper, digits, n_all - word_chars, n_symbols, greatest(marks - n_symbols, 0), greatest(n_all - upper - digits - (n_all - word_chars) - marks, 0)]::double[] as chars,
+                     case {_COMMON} else ['', ''] end as list, w from f),
+        c as (select * exclude (list, w), case when list[1] = '' then [len(list_filter(w, lambda x: list_contains({_ALL}, x)))] else list_transform(list, lambda y: len(list_filter(w, lambda x: x = y))) end::double[] as own from h),
+        s as (select *, list_transform(chars, lambda x: x / nullif(list_sum(chars), 0)) as pc, list_transform(list_append(own, n_words - list_sum(own)), lambda x: x / nullif(n_words, 0)) as pw from c),
+        e as (select lang, 'c' as kind, 6 as width, unnest(range(1, 7)) as k, unnest(pc) as x from s where n_words > 0 union all select lang, 'w', len(pw), unnest(range(1, len(pw) + 1)), unnest(pw) from s where n_words > 0),
+        own as (select lang, kind, width, list(x order by k) as q from (select lang, kind, width, k, avg(x) as x from e where lang is not null group by 1, 2, 3, 4) group by 1, 2, 3),
+        every as (select kind, width, list(x order by k) as q from (select kind, width, k, avg(x) as x from e group by 1, 2, 3) group by 1, 2),
+        m as (select s.*, coalesce(oc.q, ac.q) as qc, coalesce(ow.q, aw.q) as qw from s left join own oc on oc.lang = s.lang and oc.kind = 'c' left join every ac on ac.kind = 'c'
+              left join own ow on ow.lang = s.lang and ow.kind = 'w' and ow.width = len(s.pw) left join every aw on aw.kind = 'w' and aw.width = len(s.pw)),
+        j as (select m.*, r.n_repeat_words, qw[-1] as rest,
+                     sqrt(greatest(list_sum(list_transform(list_zip(pc, qc), lambda z: (case when z[1] > 0 then z[1] * log2(2 * z[1] / (z[1] + z[2])) else 0 end + case when z[2] > 0 then z[2] * log2(2 * z[2] / (z[1] + z[2])) else 0 end) / 2)), 0)) as jc,
+                     sqrt(greatest(list_sum(list_transform(list_zip(pw, qw), lambda z: (case when z[1] > 0 then z[1] * log2(2 * z[1] / (z[1] + z[2])) else 0 end + case when z[2] > 0 then z[2] * log2(2 * z[2] / (z[1] + z[2])) else 0 end) / 2)), 0)) as jw
+              from m left join r using (doc_id)),
+        v as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_words < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * n_words as base_failed,
+                     case when n_all >= {quality_rules.MIN_CHARS} then coalesce(jc, 0) end as char_distance, case when n_words >= {quality_rules.MIN_WORDS} then coalesce(jw, 0) end as word_distance,
+                     case when rest is null or rest > {1 - quality_rules.LEAST_COMMON} then {quality_rules.MAX_WORD_DISTANCE}
+                          else least({quality_rules.MAX_WORD_DISTANCE}, {quality_rules.WITHOUT_WORDS} * sqrt((log2(2 / (1 + rest)) + case when rest > 0 then rest * log2(2 * rest / (1 + rest)) else 0 end + 1 - rest) / 2)) end as word_limit from j)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(char_distance, 0) <= {quality_rules.MAX_CHAR_DISTANCE} and coalesce(word_distance, 0) <= word_limit as kept,
+          round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance from v
+    """,
     "op6_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
                    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

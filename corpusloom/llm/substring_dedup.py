@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corpusloom.llm.common import block_count, block_of, fresh, mix64
+from corpusloom.llm.common import block_count, block_of, fresh, mix64, named
 from corpusloom.llm.shingles import Powers
 from corpusloom.llm.suffixes import repeated
 
@@ -420,7 +420,8 @@ def applied(keep: list[str], text: str | None, count: str | None):
 def removed(docs: DataFrame, keep: list[str], length: int, key: str, text: str, rewrite: bool = False, count: str | None = None) -> DataFrame:
     """The kept columns of every row, then three: its bytes, the spans that go, the bytes that stay."""
     doc, body, place = (fresh(docs, x) for x in ("dealt_doc", "dealt_text", "dealt_block"))
-    rows = docs.select(*keep, F.col(key).cast("long").alias(doc), F.col(text).alias(body))
+    names = dict(zip(docs.columns, named(docs)))
+    rows = docs.select(*[names[c] for c in keep], F.col(key).cast("long").alias(doc), F.col(text).alias(body))
     n = block_count(rows, body)
     block = rows.withColumn(place, block_of(n, doc, body)).groupBy(place)
     sent = block.applyInArrow(anchors(n, length), SENT)
@@ -428,10 +429,10 @@ def removed(docs: DataFrame, keep: list[str], length: int, key: str, text: str,
     asked = block.cogroup(reply.groupBy("block")).applyInArrow(contexts(n, length), CONTEXTS)
     spans = asked.groupBy("bucket").applyInArrow(sorted_suffixes(length), "block int, spans binary")
     last = StructType([StructField(fresh(docs, x), t) for x, t in zip(("bytes", "spans", "kept"), (f.dataType for f in StructType.fromDDL("a long, b array<struct<start: long, end: long>>, c binary").fields))])
-    out = StructType([*docs.select(*keep).schema.fields, *last.fields])
+    out = StructType([*docs.select(*[names[c] for c in keep]).schema.fields, *last.fields])
     run = applied(keep, text if rewrite else None, count)
-    names = out.names
-    return block.cogroup(spans.groupBy("block")).applyInArrow(lambda key, left, right: run(key, left, right).rename_columns(names), out)
+    labels = out.names
+    return block.cogroup(spans.groupBy("block")).applyInArrow(lambda key, left, right: run(key, left, right).rename_columns(labels), out)
 
 
 def dedup(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -445,4 +446,4 @@ def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text
     a length column is set anew, and rows of whose text nothing is left go."""
     found = removed(docs, docs.columns, length, key, text, True, count)
     size, _, kept = found.columns[-3:]
-    return found.where((F.col(size) == 0) | (F.octet_length(kept) > 0)).select(*docs.columns)
+    return found.where((F.col(size) == 0) | (F.octet_length(kept) > 0)).select(*named(docs))
