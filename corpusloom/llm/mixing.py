@@ -41,7 +41,7 @@ ROUNDS = 60
 #: Largest miss of any domain's target, as a share of all tokens, at which the rounds end.
 CLOSE = 1e-6
 #: How much more a miss weighs than a rate's distance from 1, both as shares of all tokens.
-WEIGHT = 1e8
+WEIGHT = 1e10
 #: Targets that nonnegative rates can't meet: the gradient, as a share of all tokens, at which no rate can lower the miss any more.
 STILL = 1e-9
 #: Lengths of a step that one round tries.
