@@ -66,7 +66,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=SHARDS, seed=SEED)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,20 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
+SHARDS, SEED = 40, 7
+
+
+def _network(source: str) -> str:
+    """SQL of one pass of the network over (num, x, a, b): (num, at, a, b)."""
+    sql = f"(select num, a, b, x // b as l, x % b as r from {source})"
+    for k, (times, more) in enumerate(sharding.round_keys(SEED)):
+        kept, moved, side = ("r", "l", "a") if k % 2 else ("l", "r", "b")
+        p = sharding.PRIME
+        z = f"(select *, (({kept} % {p}) * {times} + {more}) % {p} as z from {sql})"
+        sql = f"(select num, a, b, {kept}, ({moved} + (z * z + z * 3 + {kept}) % {p}) % {side} as {moved} from {z})"
+    return f"(select num, l * b + r as pos, a, b from {sql})"
+
+
 _COMMON = " ".join(f"when lang = '{name}' then {words!r}" for name, words in quality_rules.COMMON_WORDS.items())
 _ALL = repr(quality_rules.ALL_WORDS)
 ORACLE_SQL: dict[str, str] = {
@@ -126,6 +140,17 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(char_distance, 0) <= {quality_rules.MAX_CHAR_DISTANCE} and coalesce(word_distance, 0) <= word_limit as kept,
           round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance from v
     """,
+    "op7_sharding": f"""
+        with recursive t as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+        h as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        y as (select doc_id, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as y from h),
+        c as (select doc_id, (len(y) + {sharding.OVERHEAD})::bigint as size, xor(list_reduce(list_prepend(4294967295::bigint, y), lambda c, v: xor(c >> 8, t.t[(xor(c, v) & 255) + 1])), 4294967295)::bigint as text_crc32 from y, t),
+        g as materialized (select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as num, count(*) over () as n from c),
+        e as (select *, floor(sqrt(n - 1))::bigint + 1 as a from g),
+        s as (select num, num as x, a, (n + a - 1) // a as b from e),
+        w as (select num, pos, a, b from {_network("s")} union all select num, pos, a, b from {_network("(select num, pos as x, a, b from w where pos >= (select count(*) from documents)) v")})
+        select doc_id, size, text_crc32, num as row_number, 'rows' as law, (pos % {SHARDS})::integer as shard, pos // {SHARDS} as slot, null::integer as grown_shard from g join w using (num) where pos < n
+    """,
     "op6_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
                    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
