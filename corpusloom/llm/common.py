@@ -111,8 +111,10 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str, make: Calla
     from pyspark.sql.types import StructType
 
     added = StructType.fromDDL(schema)
-    base = df.select(*keep, F.col(text).alias(fresh(df, "text_in")))
-    out = StructType([*df.select(*keep).schema.fields, *added.fields])
+    own = dict(zip(df.columns, named(df)))
+    kept = [own[c] for c in keep]
+    base = df.select(*[c.alias(f"c{k}") for k, c in enumerate(kept)], F.col(text).alias("text_in"))  # plain names on the way to Python
+    out = StructType([*df.select(*kept).schema.fields, *added.fields])
     names = added.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,4 +329,4 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "
     whole = F.to_json(F.struct(*named(docs)), {"ignoreNullFields": "false"})
     several = kept.join(again, key, "left_semi").select(F.struct(*named(docs)).alias(mark), F.sha2(whole, 256).alias("row_digest"))
     single = several.groupBy("row_digest").agg(F.any_value(mark).alias(mark))
-    return rest.unionByName(single.select(f"{mark}.*"))
+    return rest.union(single.select(f"{mark}.*"))

@@ -419,9 +419,9 @@ def applied(keep: list[str], text: str | None, count: str | None):
 
 def removed(docs: DataFrame, keep: list[str], length: int, key: str, text: str, rewrite: bool = False, count: str | None = None) -> DataFrame:
     """The kept columns of every row, then three: its bytes, the spans that go, the bytes that stay."""
-    doc, body, place = (fresh(docs, x) for x in ("dealt_doc", "dealt_text", "dealt_block"))
+    doc, body, place = "dealt_doc", "dealt_text", "dealt_block"
     names = dict(zip(docs.columns, named(docs)))
-    rows = docs.select(*[names[c] for c in keep], F.col(key).cast("long").alias(doc), F.col(text).alias(body))
+    rows = docs.select(*[names[c].alias(f"c{k}") for k, c in enumerate(keep)], F.col(key).cast("long").alias(doc), F.col(text).alias(body))
     n = block_count(rows, body)
     block = rows.withColumn(place, block_of(n, doc, body)).groupBy(place)
     sent = block.applyInArrow(anchors(n, length), SENT)
