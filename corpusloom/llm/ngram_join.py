@@ -42,6 +42,8 @@ ORDERS = 3
 #: Sets in a chunk; a unit holds two chunks.
 CHUNK = 256
 OUTSIDE = 255
+#: Bytes of a set's digest that name its node; nodes that several digests would share are told apart by the other half.
+NODE_BYTES = 8
 
 
 def prefix(n: int, percent: int) -> int:
@@ -100,11 +102,11 @@ def shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "tokens": pa.array([o[1] for o in out], pa.binary()), "kinds": pa.array([o[2] for o in out], pa.binary())})
 
 
-ROW = "doc_id long, n long, node long, sig binary, tokens binary, kinds binary"
+ROW = "doc_id long, n long, node long, low long, tokens binary, kinds binary"
 
 
 def suspected(region: int, width: int, percent: int):
-    """Step 2, a block: (doc_id, n, node, sig, tokens, kinds); only possible partners have a node, and of equal
+    """Step 2, a block: (doc_id, n, node, low, tokens, kinds); node and low are a digest of the set. Only possible partners have a node, and of equal
     sets in the block the first keeps the tokens."""
 
     def run(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -127,9 +129,9 @@ def suspected(region: int, width: int, percent: int):
                     sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     own = (s.astype("<u8").tobytes(), kinds.tobytes()) if sig not in seen else (None, None)
                     seen.add(sig)
-                    row = (doc, n, int.from_bytes(sig[:8], "little", signed=True), sig, *own)
+                    row = (doc, n, int.from_bytes(sig[:NODE_BYTES], "little", signed=True), int.from_bytes(sig[8:], "little", signed=True), *own)
             rows.append(row)
-        kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table({name.split()[0]: pa.array([r[k] for r in rows], kinds_of[k]) for k, name in enumerate(ROW.split(", "))})
 
     return run
@@ -263,6 +265,17 @@ def unit(percent: int):
     return run
 
 
+def by_whole_digest(found: DataFrame) -> DataFrame:
+    """found with a node for each digest: nodes of several digests get new ones, made of both halves. Of n sets some n^2 / 2^65 clash,
+    so the table of these is next to nothing."""
+    halves = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("low").alias("least"), F.max("low").alias("most"))
+    clashes = cut(halves.where(F.col("least") != F.col("most")).select("node", F.lit(True).alias("clash")))
+    if clashes.isEmpty():
+        return found
+    node = F.when(F.col("clash"), F.xxhash64("node", "low")).otherwise(F.col("node"))
+    return found.join(clashes, "node", "left").select("doc_id", "n", node.alias("node"), "low", "tokens", "kinds")
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: its set's size, and the smallest doc_id reachable by links."""
     region = int(max(REGION, 2 * (100 - percent) / 100) * 2**64) if percent < 100 else int(REGION * 2**64)
@@ -274,6 +287,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     reply = sent.groupBy("bucket").applyInArrow(shared, "block int, tokens binary, kinds binary")
     found = cut(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(suspected(region, width, percent), ROW))
 
+    found = by_whole_digest(found)
     holders = found.where(F.col("tokens").isNotNull())
     post = cut(holders.select("node", "tokens", "kinds").mapInArrow(postings(percent), "token long, node long, size int").distinct())
     leads = cut(post.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("token", "lead"))

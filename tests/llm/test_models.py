@@ -296,3 +296,17 @@ def test_large_groups_of_several_sizes(spark, monkeypatch):
                     label[i] = label[j] = min(label[i], label[j])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()} == dict(enumerate(label))
+
+
+def test_digests_that_clash_in_one_half(spark, monkeypatch):
+    """With 256 nodes for 400 different sets, sets are still known by their whole digests."""
+    monkeypatch.setattr(ngram_join, "NODE_BYTES", 1)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one = [" ".join(word() for _ in range(12)) for _ in range(400)]
+    shared = [word() for _ in range(30)]
+    near = [" ".join([*shared, *(["x"] if i else [])]) for i in range(2)]
+    rows = list(enumerate([*one, *one[:50], *near, *near]))
+    want = {i: i if i < 400 else i - 400 if i < 450 else 450 for i, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()} == want
