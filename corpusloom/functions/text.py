@@ -11,7 +11,8 @@ FOLD_FROM = "\u0670\u0622\u0623\u0625\u0629\u0649"
 FOLD_TO = "\u0627\u0627\u0627\u0627\u0647\u064a"
 DROPPED = "[\u064b-\u065f\u06d6-\u06dc]"
 # Digits of a verse marker.
-MARKER = "\\A[\u0660-\u0669\u06f0-\u06f9]+\\z"
+DIGITS = "[\u0660-\u0669\u06f0-\u06f9]"
+MARKER = f"\\A{DIGITS}+\\z"
 # How spelled-out letter names begin.
 LETTER_NAMES = ["\u0621\u064e\u0644\u0650\u0641", "\u0644\u064e\u0627\u0627", "\u0645\u0650\u06e6", "\u0645\u0645\u0645", "\u0631\u064e\u0627\u0627", "\u0635\u064e\u0627\u0627", "\u0637\u064e\u0627\u0627", "\u0647\u064e\u0627\u0627", "\u0633\u0650\u06e6", "\u064a\u064e\u0627\u0627", "\u062d\u064e\u0627\u0627", "\u0639\u064e\u064a\u064a", "\u0642\u064e\u0627\u0627", "\u0646\u064f\u06e5", "\u0643\u064e\u0627\u0627"]
 # Letters of short opening words, and the two signs that mark one by themselves.
@@ -34,7 +35,8 @@ def tokens(c: Column) -> Column:
 
 
 def is_marker(c: Column) -> Column:
-    return F.coalesce(strip(c).rlike(MARKER), F.lit(False))
+    """Whether nothing but digits is left once the text is stripped; one anchored pattern, which most words fail at their first sign."""
+    return F.coalesce(c.rlike(f"(?U)\\A{BLANK}*{DIGITS}+{BLANK}*\\z"), F.lit(False))
 
 
 def is_opening(c: Column) -> Column:

@@ -93,6 +93,34 @@ def standardized(frames: Column) -> Column:
     return F.when(n > 0, F.transform(F.array(done), lambda bins: F.transform(frames, lambda f, i: F.transform(bins, lambda b: F.get(b, i))))[0]).otherwise(frames.cast("array<array<double>>"))
 
 
+#: Fixed values of the sound front end: samples of a frame, length of the transform, factor of the preemphasis, least energy.
+FRAME, TRANSFORM, EMPHASIS, FLOOR = 400, 512, 0.97, 1.192092955078125e-07
+
+
+def mel_frames(samples: Column, filters: np.ndarray, hop: int = 160) -> Column:
+    """Logarithmic energies of each frame under a bank of filters (bands x 257). The bank and the hop are parameters (they aren't
+    documented); samples beyond the last whole frame don't count. Arrow batches: a transform needs all samples of a frame."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
+
+    @F.arrow_udf("array<array<float>>")
+    def found(lists: pa.Array) -> pa.Array:
+        out = []
+        for own in lists.to_pylist():
+            if own is None:
+                out.append(None)
+                continue
+            x = np.array(own, np.float64) * 32768
+            n = max(0, 1 + (len(x) - FRAME) // hop)
+            frames = x[np.arange(n)[:, None] * hop + np.arange(FRAME)]
+            frames = frames - frames.mean(axis=1, keepdims=True)
+            before = np.concatenate([frames[:, :1], frames[:, :-1]], axis=1)
+            power = np.abs(np.fft.rfft((frames - EMPHASIS * before) * window, TRANSFORM, axis=1)) ** 2
+            out.append(np.log(np.maximum(power @ np.asarray(filters, np.float64).T, FLOOR)).tolist())
+        return pa.array(out, pa.list_(pa.list_(pa.float32())))
+
+    return found(samples)
+
+
 def stacked(frames: Column) -> Column:
     """Each frame of an even place joined with the next one; a last frame without a next one goes."""
     return F.transform(F.filter(frames, lambda f, i: (i % 2 == 0) & (i + 1 < F.size(frames))), lambda f, i: F.concat(f, F.get(frames, 2 * i + 1)))

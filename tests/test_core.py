@@ -1,6 +1,9 @@
+import cmath
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +240,25 @@ def test_folders_and_json_lines(spark, tmp_path):
     assert tensors.collect() == readers.seeded_tensor(spark, 5, 3).collect() and len(tensors.first()["features"]) == 3
     with pytest.raises(Exception, match="differ in length"):
         spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>").select(V.same_size(F.col("a"), F.col("b"))).collect()
+
+
+def test_mel_frames(spark):
+    """Two frames against a transform written out as sums."""
+    rng = random.Random(2)
+    samples = [rng.uniform(-0.5, 0.5) for _ in range(600)]
+    bank = [[1.0 if 10 * b <= k < 10 * b + 15 else 0.0 for k in range(257)] for b in range(3)]
+    df = spark.createDataFrame([(1, samples), (2, samples[:399]), (3, None)], "i int, x array<double>")
+    got = {r["i"]: r["m"] for r in df.select("i", V.mel_frames(F.col("x"), np.array(bank)).alias("m")).collect()}
+    assert got[2] == [] and got[3] is None and len(got[1]) == 2
+    for f, frame in enumerate(got[1]):
+        x = [32768 * v for v in samples[160 * f : 160 * f + 400]]
+        x = [v - sum(x) / 400 for v in x]
+        y = [(v - 0.97 * (x[i - 1] if i else x[0])) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 400)) for i, v in enumerate(x)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * i * k / 512) for i, v in enumerate(y))) ** 2 for k in range(40)]
+        assert frame == pytest.approx([math.log(sum(power[10 * b : 10 * b + 15])) for b in range(3)], rel=1e-5)
+
+
+def test_frames_without_variance(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [1.0, 4.0]]), (2, [[1.0, 2.0]]), (3, [])], "i int, f array<array<float>>")
+    got = {r["i"]: r["s"] for r in df.select("i", V.standardized(F.col("f")).alias("s")).collect()}
+    assert got[1] == [[0.0, pytest.approx(-math.sqrt(0.5))], [0.0, pytest.approx(math.sqrt(0.5))]] and got[2] == [[None, None]] and got[3] == []
