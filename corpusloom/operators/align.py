@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import chars
 
 SPAN = "array<struct<start: int, end: int>>"
-PAIR = "array<struct<ph_idx: int, word: int>>"
+CHARACTERS = "array<struct<uthmani_idx: int, ph_start: int, ph_end: int, deleted: int, uthmani_word: int>>"
 MAP = "array<struct<phoneme_word: int, text_word: int>>"
 
 
@@ -62,74 +62,150 @@ def offsets(raw: Column, merged: Column) -> Column:
     return F.when(raw.isNotNull(), let(known, found))
 
 
-def covered(starts: Column, ends: Column, deleted: Column, words: Column) -> Column:
-    """(ph_idx, word) for each phoneme in the range of a character that isn't deleted and has a word: four arrays over the characters,
-    the last may be shorter. An empty range gives nothing."""
-
-    def one(m: Column) -> Column:
-        some = (m["d"] == 0) & (m["w"] > 0) & (m["e"] > m["s"])
-        return F.when(some, F.transform(F.sequence(m["s"], m["e"] - 1), lambda p: F.struct(p.alias("ph_idx"), m["w"].alias("word")))).otherwise(F.array().cast(PAIR))
-
-    zipped = F.arrays_zip(starts.alias("s"), ends.alias("e"), deleted.alias("d"), words.alias("w"))
-    return F.flatten(F.transform(zipped, one))
-
-
 def rows_of(a: pa.Array, *fields: str):
     """For each list of an array its values as NumPy arrays, one a field of its structs; None for a null."""
-    offsets_, values = a.offsets.to_numpy(), a.values
+    starts, values = a.offsets.to_numpy(), a.values
     columns = [values.field(f) for f in fields] if fields else [values]
+    columns = [c.cast(pa.int32()) if pa.types.is_boolean(c.type) else c for c in columns]
     known = [c.fill_null(NONE).to_numpy(zero_copy_only=False) if c.null_count else c.to_numpy(zero_copy_only=False) for c in columns]
     for i, valid in enumerate(a.is_valid().to_pylist()):
-        yield tuple(c[offsets_[i] : offsets_[i + 1]] for c in known) if valid else None
+        yield tuple(c[starts[i] : starts[i + 1]] for c in known) if valid else None
 
 
 NONE = -(1 << 31)
 
 
-def least_words(pairs: Column, n: Column) -> Column:
-    """The smallest word over each of n phonemes, null where there is none. pairs: ph_idx, word."""
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-    @F.arrow_udf("array<int>")
-    def found(lists: pa.Array, sizes: pa.Array) -> pa.Array:
-        out = []
-        for own, size in zip(rows_of(lists, "ph_idx", "word"), sizes.to_pylist()):
-            if own is None or size is None:
-                out.append(None)
-                continue
-            place, word = own
-            least = np.full(size, 1 << 31, np.int64)
-            inside = (place >= 0) & (place < size)
-            np.minimum.at(least, place[inside], word[inside])
-            out.append(pa.array(least, pa.int64(), mask=least == 1 << 31).cast(pa.int32()))
-        return pa.array([x if x is None else x.to_pylist() for x in out], pa.list_(pa.int32()))
 
-    return found(pairs, n)
+def joined(x: np.ndarray) -> str:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def under(starts: np.ndarray, ends: np.ndarray, deleted: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, word) for each phoneme in the range of a character that isn't deleted and has a word; characters beyond the words
+    have none. An empty range gives nothing."""
+    word = np.zeros(len(starts), np.int64)
+    word[: len(words)] = words[: len(starts)]
+    some = (deleted == 0) & (word > 0) & (ends > starts)
+    first, size = starts[some].astype(np.int64), (ends - starts)[some].astype(np.int64)
+    begins = np.cumsum(size) - size
+    return np.repeat(first - begins, size) + np.arange(size.sum()), np.repeat(word[some], size)
+
+
+def broken(x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A text's points without blanks, and a blank before each whose word (its own, NONE if there is none, or the last known)
+    exceeds the one before it, if that is above 0."""
+    w = np.full(len(x), NONE, np.int64)
+    w[: len(least)] = least[: len(x)]
+    x, w = x[x != 32], w[x != 32]
+    if not len(x):
+        return x
+    last = np.maximum.accumulate(np.where(w != NONE, np.arange(len(w)), -1))
+    word = np.where(last >= 0, w[last], 0)
+    before = np.concatenate([[0], word[:-1]])
+    return np.insert(x, np.flatnonzero((word > before) & (before > 0)), 32)
 
 
 def reinserted(text: Column, least: Column) -> Column:
-    """The text without blanks, and a blank before each character whose word (its own or the last known) exceeds the one before
-    it, if that is above 0. least: the word of each character, or null."""
+    """The text without blanks, and a blank before each character whose word exceeds the one before it, as in `broken`. least: the
+    word of each character, or null."""
 
     @F.arrow_udf("string")
     def found(texts: pa.Array, words: pa.Array) -> pa.Array:
-        out = []
-        for body, own in zip(texts.to_pylist(), rows_of(words)):
-            if body is None or own is None:
-                out.append(None)
-                continue
-            x = np.frombuffer(body.encode("utf-32-le"), "<u4")
-            w = np.full(len(x), NONE, np.int64)
-            w[: len(own[0])] = own[0][: len(x)]
-            x, w = x[x != 32], w[x != 32]
-            last = np.maximum.accumulate(np.where(w != NONE, np.arange(len(w)), -1)) if len(w) else np.zeros(0, np.int64)
-            word = np.where(last >= 0, w[last], 0) if len(w) else w
-            before = np.concatenate([[0], word[:-1]]) if len(w) else w
-            out.append(np.insert(x, np.flatnonzero((word > before) & (before > 0)), 32).astype("<u4").tobytes().decode("utf-32-le"))
-        return pa.array(out, pa.string())
+        pairs = zip(texts.to_pylist(), rows_of(words))
+        return pa.array([None if body is None or own is None else joined(broken(points(body), own[0])) for body, own in pairs], pa.string())
 
     return found(text, least)
 
 
+class Verse:
+    """A verse's text, its phonemes as they came, and for each character the range of phonemes that it makes."""
+
+    def __init__(self, text: str, raw: str, mappings: tuple[np.ndarray, ...]) -> None:
+        x = points(text)
+        self.words = np.where(x == 32, 0, np.cumsum(x == 32) + 1)
+        self.raw = points(raw)
+        self.starts, self.ends, self.deleted = mappings
+        self.place, self.word = under(self.starts, self.ends, self.deleted, self.words)
+
+    def phonemes(self) -> str:
+        """With a blank wherever the text's words change."""
+        least = np.full(len(self.raw), 1 << 31, np.int64)
+        inside = (self.place >= 0) & (self.place < len(least))
+        np.minimum.at(least, self.place[inside], self.word[inside])
+        return joined(broken(self.raw, np.where(least == 1 << 31, NONE, least)))
+
+    def moved(self, phonemes: str) -> np.ndarray:
+        """The place in the phonemes of each raw one and of the end, as in `offsets`."""
+        solid = np.flatnonzero(points(phonemes) != 32)
+        blank = self.raw == 32
+        rank = np.concatenate([np.arange(len(blank)) - (np.cumsum(blank) - blank), [len(blank) - blank.sum()]])
+        n = rank[-1]
+        beyond = len(phonemes) + np.arange(max(0, n - len(solid)))
+        at = np.concatenate([solid, beyond])[:n]
+        return np.concatenate([at, [at[-1] + 1 if n else 0]])[rank]
+
+    def characters(self, phonemes: str) -> tuple[np.ndarray, ...]:
+        """For each character its place, its range in the phonemes, whether it is deleted, and its word, 0 for a blank or beyond the text."""
+        moved = self.moved(phonemes)
+        start, end = (moved[np.minimum(p, len(moved) - 1)] for p in (self.starts, self.ends))
+        word = np.zeros(len(start), np.int64)
+        word[: len(self.words)] = self.words[: len(start)]
+        return np.arange(len(start)), start, end, self.deleted, word
+
+    def heard(self, phonemes: str) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the phonemes, word) of all raw phonemes that aren't blanks."""
+        inside = (self.place >= 0) & (self.place < len(self.raw))
+        place, word = self.place[inside], self.word[inside]
+        sound = self.raw[place] != 32
+        return self.moved(phonemes)[place[sound]], word[sound]
+
+
+def of_verses(kind: str, make: Callable, *columns: Column) -> Column:
+    """make(verse, ...) for each row: text, raw phonemes and mappings, then what make takes more. kind: string, or an array of integers
+    or of structs of them, for which make gives an array a field. Null where any is null."""
+    fields = [x.split(":")[0].strip() for x in kind.removeprefix("array<struct<").removesuffix(">>").split(",")] if "struct" in kind else []
+
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array, raws: pa.Array, mappings: pa.Array, *more: pa.Array) -> pa.Array:
+        rest = [rows_of(m, "start", "end") if pa.types.is_list(m.type) else m.to_pylist() for m in more]
+        out = []
+        for text, raw, own, *given in zip(texts.to_pylist(), raws.to_pylist(), rows_of(mappings, "start", "end", "deleted"), *rest):
+            out.append(None if text is None or raw is None or own is None or any(g is None for g in given) else make(Verse(text, raw, own), *given))
+        return pa.array(out, pa.string()) if kind == "string" else lists_of(out, fields)
+
+    return found(*columns)
+
+
+def lists_of(rows: list[tuple[np.ndarray, ...] | None], fields: list[str]) -> pa.Array:
+    """Lists of integers, or of structs of them, from arrays a row; None is a null."""
+    sizes = np.cumsum([0, *(0 if r is None else len(r[0]) for r in rows)])
+    flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows if r is not None)]), pa.int64()).cast(pa.int32()) for k in range(max(1, len(fields)))]
+    values = pa.StructArray.from_arrays(flat, names=fields) if fields else flat[0]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def token_words(verse: Verse, phonemes: str, tokens: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (phoneme_word, text_word), in order: for each token's span the words of the phonemes in it."""
+    return distinct(*inside((tokens[0], np.minimum(tokens[1], len(phonemes))), verse.heard(phonemes)))
+
+
+def distinct(span: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span's number from 1, word) without repeats, in order."""
+    code = np.unique((span.astype(np.int64) + 1) << 32 | word)
+    return code >> 32, code & 0xFFFFFFFF
+
+
+def group_words(verse: Verse, phonemes: str, groups: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray]:
+    """For each group's span the smallest word of the phonemes in it, 0 where there is none."""
+    span, word = inside((groups[0], np.minimum(groups[1], len(phonemes))), verse.heard(phonemes))
+    least = np.full(len(groups[0]), 1 << 31, np.int64)
+    np.minimum.at(least, span, word)
+    return (np.where(least == 1 << 31, 0, least),)
+
+
 def spans(text: Column, parts: Column, gap: int = 0) -> Column:
     """[start, end) of each part, found from the end of the one before (plus gap) on; one that isn't found starts there.
 
@@ -176,47 +252,16 @@ def inside(spans_, pairs_):
     return np.repeat(np.arange(len(n)), n), word[np.repeat(first - begins, n) + np.arange(n.sum())]
 
 
-def word_map(tokens: Column, pairs: Column) -> Column:
-    """Distinct (phoneme_word, text_word), in order: for each token's span the words of the phonemes in it. tokens: start, end;
-    pairs: ph_idx, word."""
+def word_map(tokens: Column, starts: Column, ends: Column, deleted: Column, words: Column) -> Column:
+    """Distinct (phoneme_word, text_word), in order: for each token's span the words of the phonemes in it. tokens: start, end; then,
+    for each character, the range of its phonemes, whether it is deleted, and its word."""
 
     @F.arrow_udf(MAP)
-    def found(lists: pa.Array, known: pa.Array) -> pa.Array:
-        sizes, spans_out, words_out, valid = [0], [], [], []
-        for own, under in zip(rows_of(lists, "start", "end"), rows_of(known, "ph_idx", "word")):
-            valid.append(own is not None and under is not None)
-            if valid[-1]:
-                span, word = inside(own, under)
-                some = word > 0
-                code = np.unique((span[some].astype(np.int64) + 1) << 32 | word[some])
-                spans_out.append(code >> 32)
-                words_out.append(code & 0xFFFFFFFF)
-            sizes.append(len(spans_out[-1]) if valid[-1] else 0)
-        flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()).cast(pa.int32()) for x in (spans_out, words_out)]
-        values = pa.StructArray.from_arrays(flat, names=["phoneme_word", "text_word"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values, mask=pa.array([not v for v in valid], pa.bool_()))
-
-    return found(tokens, pairs)
-
-
-def least_inside(tokens: Column, pairs: Column) -> Column:
-    """For each span the smallest word of the phonemes in it, 0 where there is none."""
-
-    @F.arrow_udf("array<int>")
-    def found(lists: pa.Array, known: pa.Array) -> pa.Array:
-        out = []
-        for own, under in zip(rows_of(lists, "start", "end"), rows_of(known, "ph_idx", "word")):
-            if own is None or under is None:
-                out.append(None)
-                continue
-            span, word = inside(own, under)
-            least = np.full(len(own[0]), 1 << 31, np.int64)
-            np.minimum.at(least, span, word)
-            least[least == 1 << 31] = 0
-            out.append(least.tolist())
-        return pa.array(out, pa.list_(pa.int32()))
-
-    return found(tokens, pairs)
+    def found(lists: pa.Array, *known: pa.Array) -> pa.Array:
+        rows = zip(rows_of(lists, "start", "end"), *map(rows_of, known))
+        return lists_of([None if own is None or None in of else distinct(*inside(own, under(*(x[0] for x in of)))) for own, *of in rows], ["phoneme_word", "text_word"])
+
+    return found(tokens, starts, ends, deleted, words)
 
 
 def local(heard: Column, known: Column, match: int = 2, mismatch: int = -1, gap: int = -1) -> Column:

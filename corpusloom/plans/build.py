@@ -54,18 +54,12 @@ def spare_phonemes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SPARE_PHONEMES.items()), "key string, phonemes string").where(fits).select(s.alias("surah"), a.alias("ayah"), "phonemes")
 
 
-def marked(phonetized: DataFrame) -> DataFrame:
-    """phonetized, and for each verse `words`, the word of each of its characters, and `under`, the (ph_idx, word) pairs that its
-    mappings give. Mappings beyond the text have no word."""
-    rows = align.fixed(phonetized, "words", align.word_index(F.col("uthmani")))
-    part = lambda name: F.transform("mappings", lambda m: m[name].cast("int"))
-    return align.fixed(rows, "under", align.covered(part("start"), part("end"), part("deleted"), F.col("words")))
+VERSE = ["uthmani", "raw", "mappings"]
 
 
-def with_boundaries(marks: DataFrame) -> DataFrame:
+def with_boundaries(phonetized: DataFrame) -> DataFrame:
     """(surah, ayah, phonemes) with a blank wherever the text's words change; an empty text where there are none."""
-    least = align.least_words(F.col("under"), F.length("raw"))
-    return marks.select(*KEYS, align.reinserted(F.col("raw"), least).alias("phonemes"))
+    return phonetized.select(*KEYS, align.of_verses("string", align.Verse.phonemes, *map(F.col, VERSE)).alias("phonemes"))
 
 
 def verse_phonemes(words: DataFrame, generated: DataFrame, spare: DataFrame) -> DataFrame:
@@ -86,31 +80,18 @@ def verse_phonemes(words: DataFrame, generated: DataFrame, spare: DataFrame) ->
 def build(given: Inputs) -> dict[str, DataFrame]:
     """Table name to plan."""
     known = given.phonetized.join(given.words.select(*KEYS).distinct(), KEYS, "left_semi")
-    marks = marked(known)
-    phonemes = verse_phonemes(given.words, with_boundaries(marks), given.spare)
+    phonemes = verse_phonemes(given.words, with_boundaries(known), given.spare)
+    both = known.join(phonemes, KEYS)
+    heard = [*map(F.col, VERSE), F.col("phonemes")]
+    char_map = align.rows_from(both.select(*KEYS, align.of_verses(align.CHARACTERS, align.Verse.characters, *heard).alias("z")), KEYS, "z")
 
-    # places of the raw phonemes, and of their end, in the ones with boundaries
-    both = align.fixed(marks.join(phonemes, KEYS), "moved", align.offsets(F.col("raw"), F.col("phonemes")))
-    spot = lambda c: F.get("moved", F.least(F.col(f"z.m.{c}"), F.size("moved") - 1)).alias(f"ph_{c}")
-    chars = both.select(*KEYS, "moved", F.posexplode(F.arrays_zip(F.col("mappings").alias("m"), F.col("words").alias("w"))).alias("uthmani_idx", "z")).where(F.col("z.m").isNotNull())
-    char_map = chars.select(*KEYS, "uthmani_idx", spot("start"), spot("end"), F.col("z.m.deleted").cast("int").alias("deleted"), F.coalesce("z.w", F.lit(0)).alias("uthmani_word"))
-
-    def sounding(z: Column) -> Column:
-        heard = F.filter(z["under"], lambda p: F.get(z["chars"], p["ph_idx"]) != " ")
-        return F.transform(heard, lambda p: F.struct(F.get(z["moved"], p["ph_idx"]).alias("ph_idx"), p["word"].alias("word")))
-
-    of_place = align.let(F.struct(T.chars(F.col("raw")).alias("chars"), "under", "moved"), sounding)
-    placed = align.fixed(both, "at", of_place).select(*KEYS, "phonemes", F.col("at").alias("under"))
-
-    def clipped(found: Column) -> Column:
-        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.least(x["end"], F.length("phonemes")).alias("end")))
-
-    groups = placed.withColumn("group_text", given.groups_of(F.col("phonemes"))).withColumn("span", align.spans(F.col("phonemes"), F.col("group_text"), 0))
-    groups = groups.withColumn("uthmani_word", align.least_inside(clipped(F.col("span")), F.col("under")))
+    groups = both.withColumn("group_text", given.groups_of(F.col("phonemes"))).withColumn("span", align.spans(F.col("phonemes"), F.col("group_text"), 0))
+    groups = groups.withColumn("uthmani_word", align.of_verses("array<int>", align.group_words, *heard, F.col("span")))
     each = lambda z, i: F.struct(i.alias("group_idx"), z["group_text"].alias("group_text"), z["span"]["start"].alias("ph_start"), z["span"]["end"].alias("ph_end"), z["uthmani_word"].alias("uthmani_word"))
     groups = align.rows_from(groups.select(*KEYS, F.transform(F.arrays_zip("group_text", "span", "uthmani_word"), each).alias("z")), KEYS, "z")
 
-    pairs = placed.withColumn("span", align.spans(F.col("phonemes"), T.tokens(F.col("phonemes")), 1)).select(*KEYS, align.word_map(clipped(F.col("span")), F.col("under")).alias("pairs"))
+    tokens = both.withColumn("span", align.spans(F.col("phonemes"), T.tokens(F.col("phonemes")), 1))
+    pairs = tokens.select(*KEYS, align.of_verses(align.MAP, align.token_words, *heard, F.col("span")).alias("pairs"))
     counts = phonemes.select(*KEYS, F.size(T.tokens(F.col("phonemes"))).alias("n")).join(pairs, KEYS, "left")
     word_map = align.rows_from(counts.select(*KEYS, align.or_identity(F.col("pairs"), F.col("n")).alias("z")), KEYS, "z")
 
@@ -145,7 +126,7 @@ def keep_last_run(generated: DataFrame, before: DataFrame) -> DataFrame:
 
 def counters(given: Inputs) -> DataFrame:
     """One row: verses; those whose phonemes were generated, were spare, or are missing; plain words imported and skipped."""
-    known = marked(given.phonetized.join(given.words.select(*KEYS).distinct(), KEYS, "left_semi"))
+    known = given.phonetized.join(given.words.select(*KEYS).distinct(), KEYS, "left_semi")
     made = with_boundaries(known).select(*KEYS, F.when(F.length("phonemes") > 0, True).alias("made"))
     spare = given.spare.where(F.length("phonemes") > 0).select(*KEYS, F.lit(True).alias("spare"))
     rows = given.words.select(*KEYS).distinct().join(made, KEYS, "left").join(spare, KEYS, "left")

@@ -205,10 +205,9 @@ def word_pairs(docs: DataFrame) -> DataFrame:
     characters are a word, and seven phonemes one of theirs."""
     each = lambda f: F.transform("i", f)
     rows = docs.select("*", F.length("text").alias("n"), places(F.length("text")).alias("i"))
-    under = align.covered(F.col("i"), each(lambda i: F.least(i + i % 3, F.col("n"))), each(lambda i: (i % 3 == 0).cast("int")), each(lambda i: (F.call_function("div", i, F.lit(10)) + 1).cast("int")))
+    under = [F.col("i"), each(lambda i: F.least(i + i % 3, F.col("n"))), each(lambda i: (i % 3 == 0).cast("int")), each(lambda i: (F.call_function("div", i, F.lit(10)) + 1).cast("int"))]
     tokens = F.transform(places(F.ceil(F.col("n") / 7).cast("int")), lambda k: F.struct((k * 7).alias("start"), (k * 7 + 7).alias("end")))
-    rows = align.fixed(rows, "under", under)
-    return rows.select(*docs.columns, align.word_map(tokens, F.col("under")).alias("pairs"))
+    return rows.select(*docs.columns, align.word_map(tokens, *under).alias("pairs"))
 
 
 @query(f"""

@@ -51,9 +51,10 @@ def given(spark: SparkSession, d: str) -> build.Inputs:
     glyphs = w.where("word_id % 3 <> 0").select("word_id", F.concat(F.lit("g"), F.col("word_id") % 100).alias("glyph_text"), F.lit(1).alias("seq"))
     verses = corpus.verse_texts(w, build.KEYS)
     heard = verses.where("ayah % 7 <> 0").select(*build.KEYS, F.col("text").alias("uthmani"), F.replace("text", F.lit(" "), F.lit("")).alias("raw"))
-    heard = align.fixed(heard, "at", align.offsets(F.col("uthmani"), F.col("raw")))
-    mapping = lambda k, w: F.struct(k.alias("start"), (k + (w > 0).cast("int")).alias("end"), (w == 0).alias("deleted"))
-    heard = heard.select(*build.KEYS, "uthmani", "raw", F.zip_with(F.slice("at", F.lit(1), F.length("uthmani")), align.word_index(F.col("uthmani")), mapping).alias("mappings"))
+    heard = align.fixed(heard, "at", align.word_index(F.col("uthmani")))
+    rank = lambda w, i: i + 1 - F.when(w > 0, w).otherwise(F.get("at", i - 1))  # noqa: E731  a blank takes the next one's
+    mapping = lambda w, i: F.struct(rank(w, i).alias("start"), (rank(w, i) + (w > 0).cast("int")).alias("end"), (w == 0).alias("deleted"))
+    heard = align.fixed(heard, "mappings", F.transform("at", mapping)).drop("at")
     lines = words(spark, d).groupBy((F.col("doc_id") * 1000 + div(place, LINE * PAGE)).alias("page_number"), (div(place, LINE) % PAGE + 1).alias("line_number"))
     lines = lines.agg(F.lit("ayah").alias("line_type"), F.lit(0).alias("is_centered"), F.min(F.col("doc_id") * 100000 + F.col("word")).alias("first_word_id"), F.max(F.col("doc_id") * 100000 + F.col("word")).alias("last_word_id"), F.lit(None).cast("int").alias("surah_number"))
     heads = docs.select((F.col("doc_id") * 1000).alias("page_number"), F.lit(0).alias("line_number"), F.lit("surah_name").alias("line_type"), F.lit(1).alias("is_centered"), F.lit(None).cast("long").alias("first_word_id"), F.lit(None).cast("long").alias("last_word_id"), F.col("doc_id").cast("int").alias("surah_number"))
