@@ -8,6 +8,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -125,9 +126,9 @@ def test_mixing_stops_at_the_least_miss(spark, caplog):
     assert "largest miss 0.083" in caplog.text
 
 
-def test_pipeline_mixes_to_its_targets(spark):
+@pytest.mark.parametrize("at", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_pipeline_mixes_to_its_targets(spark, at):
     """The tokens of the rows that come out, by domain: the targets, but for the lot of each document."""
-    at = "/root/testdata/sf0.01"
     docs, labels = table(spark, at, "documents"), domains_of(table(spark, at, "labels"))
     _, steps, features = mixing.plan(docs, labels, DOMAINS, mixing.factors_of(corpus_pipeline.FACTORS, DOMAINS))
     rows = features.withColumn("rate", mixing.rate("posterior", steps)).toPandas()
