@@ -28,6 +28,8 @@ from corpusloom.llm.common import block_of, cut
 
 CANDIDATES = 8192
 QUERIES = 4096
+#: Queries a block at least, unless there are fewer: few queries are still dealt over the cores.
+LEAST_QUERIES = 256
 #: Dimensions that are added before survivors are compacted.
 STEP = 8
 
@@ -92,7 +94,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, key: s
     rows = rows.select("vec_id", F.transform(v, lambda x: F.floor(x * F.lit(scale))).alias("v"))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, nq = rows.select(F.count("*"), F.count_if(is_query)).first()
-    nc, nq = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    nc, nq = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES), min(-(-nq // LEAST_QUERIES), cores))
     candidates = cut(blocks(rows, nc, "c"))
     each = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
 
