@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import block_count, block_of, cut, fresh, mix64, named
+from corpusloom.llm.common import block_count, block_of, cut, fresh, mix64, named, tidy
 from corpusloom.llm.graph import components
 from corpusloom.llm.shingles import Powers, shingle_sets
 
@@ -283,13 +283,13 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = block_count(rows)
     dealt = rows.withColumn("block", block_of(n, "doc_id", "text"))
-    sent = dealt.groupBy("block").applyInArrow(counted(n, region, width), "bucket int, block int, tokens binary, counts binary")
-    reply = sent.groupBy("bucket").applyInArrow(shared, "block int, tokens binary, kinds binary")
-    found = cut(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(suspected(region, width, percent), ROW))
+    sent = dealt.groupBy("block").applyInArrow(tidy(counted(n, region, width)), "bucket int, block int, tokens binary, counts binary")
+    reply = sent.groupBy("bucket").applyInArrow(tidy(shared), "block int, tokens binary, kinds binary")
+    found = cut(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(tidy(suspected(region, width, percent)), ROW))
 
     found = by_whole_digest(found)
     holders = found.where(F.col("tokens").isNotNull())
-    post = cut(holders.select("node", "tokens", "kinds").mapInArrow(postings(percent), "token long, node long, size int").distinct())
+    post = cut(holders.select("node", "tokens", "kinds").mapInArrow(tidy(postings(percent)), "token long, node long, size int").distinct())
     leads = cut(post.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("token", "lead"))
     members = cut(post.join(leads, "token").select("lead", "node", "size").distinct())
     counted_by = members.groupBy("lead", "size").agg(F.count("*").alias("n"))
@@ -316,7 +316,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     giver = cut(given.groupBy("node").agg(F.min("giver").alias("giver")))
     wanted = few.union(many).join(giver, "node")
     work = wanted.join(given, ["node", "giver"]).select("unit", "lead", "side", "node", "tokens", "kinds")
-    links = work.groupBy("unit").applyInArrow(unit(percent), "a long, b long")
+    links = work.groupBy("unit").applyInArrow(tidy(unit(percent)), "a long, b long")
     roots = components(links)
 
     nodes = cut(found.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")))

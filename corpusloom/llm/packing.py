@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.llm.common import tidy
 from corpusloom.llm.tokens import SPLIT, byte_letters
 
 #: Pieces that are packed together at most; the cost of a group grows with its square.
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
                     yield flush(False)
         yield flush(True)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def sequences(pieces: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataFrame:

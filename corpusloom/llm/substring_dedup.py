@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corpusloom.llm.common import block_count, block_of, fresh, mix64, named
+from corpusloom.llm.common import block_count, block_of, fresh, mix64, named, tidy
 from corpusloom.llm.shingles import Powers
 from corpusloom.llm.suffixes import repeated
 
@@ -424,15 +424,15 @@ def removed(docs: DataFrame, keep: list[str], length: int, key: str, text: str,
     rows = docs.select(*[names[c].alias(f"c{k}") for k, c in enumerate(keep)], F.col(key).cast("long").alias(doc), F.col(text).alias(body))
     n = block_count(rows, body)
     block = rows.withColumn(place, block_of(n, doc, body)).groupBy(place)
-    sent = block.applyInArrow(anchors(n, length), SENT)
-    reply = sent.groupBy("bucket").applyInArrow(held_by_several, REPLY)
-    asked = block.cogroup(reply.groupBy("block")).applyInArrow(contexts(n, length), CONTEXTS)
-    spans = asked.groupBy("bucket").applyInArrow(sorted_suffixes(length), "block int, spans binary")
+    sent = block.applyInArrow(tidy(anchors(n, length)), SENT)
+    reply = sent.groupBy("bucket").applyInArrow(tidy(held_by_several), REPLY)
+    asked = block.cogroup(reply.groupBy("block")).applyInArrow(tidy(contexts(n, length)), CONTEXTS)
+    spans = asked.groupBy("bucket").applyInArrow(tidy(sorted_suffixes(length)), "block int, spans binary")
     last = StructType([StructField(fresh(docs, x), t) for x, t in zip(("bytes", "spans", "kept"), (f.dataType for f in StructType.fromDDL("a long, b array<struct<start: long, end: long>>, c binary").fields))])
     out = StructType([*docs.select(*[names[c] for c in keep]).schema.fields, *last.fields])
     run = applied(keep, text if rewrite else None, count)
     labels = out.names
-    return block.cogroup(spans.groupBy("block")).applyInArrow(lambda key, left, right: run(key, left, right).rename_columns(labels), out)
+    return block.cogroup(spans.groupBy("block")).applyInArrow(tidy(lambda key, left, right: run(key, left, right).rename_columns(labels)), out)
 
 
 def dedup(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
